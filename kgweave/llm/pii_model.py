@@ -260,36 +260,34 @@ class Tagger:
         return out
 
     def _viterbi(self, ems: list[np.ndarray]) -> list[np.ndarray]:
-        """Best tags of each text. Where O outscores all else by more than any path can win back, texts are cut and the cuts run side by side."""
+        """Best tags of each text; texts of like length are decoded side by side.  Only scores are kept on the
+        way forward, the best predecessors are found again on the way back."""
         tr = self.w["T"]
-        gap = 2 * float(tr.max() - tr.min()) + 1e-3
-        pieces = []
         tags = [np.zeros(len(e), np.int8) for e in ems]
-        for i, e in enumerate(ems):
-            live = np.flatnonzero(e[:, 1:].max(1) + gap >= e[:, 0])
-            if len(live):
-                cut = np.flatnonzero(np.diff(live) > 2)
-                for a, z in zip(live[np.r_[0, cut + 1]], live[np.r_[cut, len(live) - 1]], strict=True):
-                    pieces.append((i, max(0, a - 1), min(len(e), z + 2)))
-        pieces.sort(key=lambda p: p[2] - p[1])
-        for k in range(0, len(pieces), 1024):
-            part = pieces[k : k + 1024]
-            t_max, b = part[-1][2] - part[-1][1], len(part)
-            em = np.zeros((t_max, b, K), np.float32)
-            em[:, :, 1:] = -1e4  # padding is O
-            for r, (i, a, z) in enumerate(part):
-                em[: z - a, r] = ems[i][a:z]
-            score, back = em[0], np.empty((t_max, b, K), np.int8)
+        order = [int(i) for i in np.argsort([len(e) for e in ems], kind="stable") if len(ems[i])]
+        while order:
+            t_max = len(ems[order[-1]])
+            part = order[-max(1, min(512, (1 << 19) // t_max)) :]
+            del order[-len(part) :]
+            b = len(part)
+            score = np.zeros((t_max, K, b), np.float32)
+            score[:, 1:] = -1e4  # padding is O
+            for r, i in enumerate(part):
+                score[: len(ems[i]), :, r] = ems[i]
+            best, s = np.empty((K, b), np.float32), np.empty((K, b), np.float32)
             for t in range(1, t_max):
-                s = score[:, :, None] + tr[None]
-                back[t] = s.argmax(1)
-                score = s.max(1) + em[t]
+                last = score[t - 1]
+                np.add(last[0], tr[0][:, None], out=best)
+                for j in range(1, K):
+                    np.add(last[j], tr[j][:, None], out=s)
+                    np.maximum(best, s, out=best)
+                score[t] += best
             path = np.empty((t_max, b), np.int8)
-            path[-1] = score.argmax(1)
+            path[-1] = score[-1].argmax(0)
             for t in range(t_max - 1, 0, -1):
-                path[t - 1] = back[t, np.arange(b), path[t]]
-            for r, (i, a, z) in enumerate(part):
-                tags[i][a:z] = path[: z - a, r]
+                path[t - 1] = (score[t - 1] + tr[:, path[t]]).argmax(0)
+            for r, i in enumerate(part):
+                tags[i] = path[: len(ems[i]), r].copy()
         return tags
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
