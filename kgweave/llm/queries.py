@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.runtime import table
-from . import chunk, pack, pii, survivor, tokens, topn
+from . import canon, chunk, pack, pii, survivor, tokens, topn
 
 CAPACITY = 2048
 
@@ -40,6 +40,15 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunk.split_texts(_long_texts(spark, d), keys=["src", "item_id"], text="text")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "clinical_intake")
+    drugs = t.select("request_id", F.lit("drugs").alias("field"), F.posexplode("drugs").alias("pos", "value"), F.lit("drug").alias("kind"))
+    rest = [t.select("request_id", F.lit(f).alias("field"), F.lit(0).alias("pos"), F.col(f).alias("value"), F.lit(k).alias("kind")) for f, k in (("input_term", "phenotype"), ("condition", "disease"))]
+    rows = drugs.unionByName(rest[0]).unionByName(rest[1]).filter(F.col("value").isNotNull() & ~F.col("value").rlike(r"^(?U)\s*$")).distinct()
+    mapped = canon.map_terms(spark, rows, table(spark, d, "vocab_terms"))
+    return canon.resolve(rows, mapped).select("request_id", "field", "pos", "term_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     best = survivor.best_fields(table(spark, d, "kg_nodes"), table(spark, d, "source_trust"))
     return best.select("id", "field", F.col("record").alias("record_id"))
