@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.runtime import table
-from . import canon, chunk, pack, pii, survivor, tokens, topn
+from . import canon, chunk, match, pack, pii, survivor, tokens, topn
 
 CAPACITY = 2048
 
@@ -25,6 +25,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(a.unionByName(h), group=["src", "group_key"], code=code, item="item_id", n=n)
 
 
+def p2_matches(spark: SparkSession, d: str) -> DataFrame:
+    """All candidate pairs with their confidence."""
+    drugs = match.match_drugs(table(spark, d, "chembl_drugs"), table(spark, d, "drug_associations"))
+    genes = match.match_genes(table(spark, d, "gene_info"), table(spark, d, "uniprot_proteins"))
+    return drugs.unionByName(genes).select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"), F.round("confidence", 4).alias("confidence"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_matches(spark, d).filter("confidence >= 0.5").select("key_a", "key_b")
+
+
 def _long_texts(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pubmed_articles").select(F.lit("pubmed_articles").alias("src"), F.col("article_id").alias("item_id"), F.col("abstract").alias("text"))
     t = table(spark, d, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("item_id"), "text")
