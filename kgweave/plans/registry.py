@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph, retrieval
+from . import graph, learning, retrieval
 
-MODULES = (graph, retrieval)
+MODULES = (graph, retrieval, learning)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
