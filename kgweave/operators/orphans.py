@@ -20,14 +20,13 @@ BLOCK_BITS = 14
 def integer_key(ref: Column) -> tuple[Column, Column, Column]:
     """Namespace, block and number of a key, such that two keys agree in all three only if equal.
 
-    The number is the key's tail of up to 12 lower-case letters and digits after one leading
-    character, read in base 36; the namespace is all before it and the tail's length.  A key
-    of any other shape is a namespace of its own with the number 0.
+    The number is the key's tail of up to 12 lower-case letters and digits, read in base 36 (so it fits
+    a long); the namespace is all before it and the tail's length.  A key of any other shape is a
+    namespace of its own with the number 0.
     """
     tail = F.regexp_extract(ref, "([0-9a-z]{1,12})$", 1)
-    tail = F.when(F.length(tail) > 6, F.substring(tail, 2, 12)).otherwise(tail)
     size = F.length(tail)
-    space = F.when(size > 0, F.concat(F.expr("''"), F.substring(ref, F.lit(1), F.length(ref) - size), F.lit("\u0001"), size.cast("string"))).otherwise(F.concat(ref, F.lit("\u0001")))
+    space = F.when(size > 0, F.concat(F.substring(ref, F.lit(1), F.length(ref) - size), F.lit("\u0001"), size.cast("string"))).otherwise(F.concat(ref, F.lit("\u0001")))
     number = F.when(size > 0, F.conv(tail, 36, 10).cast("decimal(20,0)").cast("long")).otherwise(F.lit(0).cast("long"))
     return space, F.shiftright(number, BLOCK_BITS), number
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph, learning, retrieval
+from . import clinical, graph, learning, retrieval
 
-MODULES = (graph, retrieval, learning)
+MODULES = (graph, retrieval, learning, clinical)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
