@@ -59,16 +59,15 @@ def has_any(text: Column, words: list[str]) -> Column:
 def task_weights(text: Column) -> Column:
     """Array of (weight, place, task): the number of words in a kind's keywords that stand in the text as whole words.
 
-    place falls from one kind to the next, so that the greatest entry is the first kind of those with the greatest weight."""
-    t = F.lower(text)
-    kinds = []
-    for place, (kind, words) in enumerate(KEYWORDS.items()):
-        weight = F.lit(0)
-        for w in words:
-            pattern = r"\b" + r"\s+".join(w.split()) + r"\b"
-            weight = weight + F.when(t.rlike(pattern), len(w.split())).otherwise(0)
-        kinds.append(F.struct(weight.alias("weight"), F.lit(-place).alias("place"), F.lit(kind).alias("task")))
-    return F.array(*kinds)
+    place falls from one kind to the next, so that the greatest entry is the first kind of those with the greatest weight.
+    One look-ahead pattern finds all keywords in one pass over the text, also where they overlap."""
+    any_word = "|".join(r"\s+".join(w.split()) for words in KEYWORDS.values() for w in words)
+    found = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit(rf"\b(?=({any_word})\b)"), F.lit(1)), lambda x: F.regexp_replace(x, r"\s+", " ")))
+    lengths = F.create_map(*[F.lit(x) for words in KEYWORDS.values() for w in words for x in (w, len(w.split()))])
+    kinds = F.array(*[F.struct(F.lit(-k).alias("place"), F.lit(kind).alias("task"), F.array(*map(F.lit, words)).alias("words")) for k, (kind, words) in enumerate(KEYWORDS.items())])
+    of = lambda hits, own: F.aggregate(F.array_intersect(hits, own), F.lit(0), lambda s, w: s + F.element_at(lengths, w))
+    weigh = lambda hits: F.transform(kinds, lambda k: F.struct(of(hits, k["words"]).alias("weight"), k["place"].alias("place"), k["task"].alias("task")))
+    return F.transform(F.array(found), weigh)[0]
 
 
 def classify_task(text: Column) -> Column:

@@ -193,12 +193,30 @@ def neighbour_jaccard(kg: KnowledgeGraph, queries: DataFrame, *, top: int = 10)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("id", "rank", "other", "score")
 
 
-def hypergeometric_tail(a: Column, query: Column, term: Column, total: Column, logs: Column) -> Column:
-    """P(X >= a) of drawing ``query`` from ``total`` with ``term`` marked; ``logs`` holds log-factorials of 0, 1, 2 …"""
-    lf = lambda x: F.element_at(logs, (x + 1).cast("int"))
-    choose = lambda n, k: lf(n) - lf(k) - lf(n - k)
-    terms = F.transform(F.sequence(a.cast("long"), F.least(query, term).cast("long")), lambda x: F.when((query - x) <= (total - term), F.exp(choose(term, x) + choose(total - term, query - x) - choose(total, query))).otherwise(0.0))
-    return F.least(F.lit(1.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))
+def log_factorial(n: Column) -> Column:
+    """Natural logarithm of n!, from Stirling's series from 16 on, where its error is below 1e-13."""
+    x = n.cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    small = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)])
+    return F.when(n < 16, F.element_at(small, (F.least(n, F.lit(15)) + 1).cast("int"))).otherwise(series)
+
+
+def hypergeometric_tail(a: Column, query: Column, term: Column, total: Column) -> Column:
+    """P(X >= a) of drawing ``query`` from ``total`` with ``term`` marked.
+
+    The first term comes from log-factorials, each next one from the last by their ratio."""
+    choose = lambda n, k: log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+    low = F.greatest(a, query + term - total).cast("long")
+    top = F.least(query, term).cast("long")
+    start = F.exp(choose(term, low) + choose(total - term, query - low) - choose(total, query))
+    zero = F.struct(F.lit(0.0).alias("sum"), start.alias("next"))
+
+    def add(s: Column, x: Column) -> Column:
+        ratio = (term - x) * (query - x) / ((x + 1) * (total - term - query + x + 1)).cast("double")
+        return F.struct((s["sum"] + s["next"]).alias("sum"), F.when(x < top, s["next"] * ratio).otherwise(0.0).alias("next"))
+
+    sums = F.aggregate(F.sequence(low, top), zero, add)["sum"]
+    return F.when(low > top, 0.0).otherwise(F.least(F.lit(1.0), sums))
 
 
 def enrichment(query: DataFrame, members: DataFrame, background: DataFrame) -> DataFrame:
@@ -215,9 +233,7 @@ def enrichment(query: DataFrame, members: DataFrame, background: DataFrame) -> D
     a, b, c = F.col("overlap"), F.col("nq") - F.col("overlap"), F.col("nt") - F.col("overlap")
     d = F.greatest(F.lit(0), F.col("nb") + F.coalesce("outside", F.lit(0)) - (F.col("nq") + F.col("nt") - F.col("overlap")) - F.coalesce("outside", F.lit(0)))
     hits = hits.select("query", "term", "overlap", (a + b).alias("drawn"), (a + c).alias("marked"), (a + b + c + d).alias("total"))
-    most = hits.agg(F.max("total")).first()[0] or 0
-    logs = F.lit([math.lgamma(i + 1) for i in range(most + 1)])
-    hits = hits.withColumn("p", hypergeometric_tail(F.col("overlap"), F.col("drawn"), F.col("marked"), F.col("total"), logs))
+    hits = hits.withColumn("p", hypergeometric_tail(F.col("overlap"), F.col("drawn"), F.col("marked"), F.col("total")))
     return benjamini_hochberg(hits, ["query"], "p", ["term"]).select("query", "term", "overlap", "p", "fdr")
 
 
