@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import DEFAULT_EDGE_TYPE
-from .runtime import checkpoint
+from .runtime import checkpoint, running_totals
 
 EDGE_KEY = ["source_id", "target_id", "edge_type"]
 
@@ -212,17 +212,14 @@ class KnowledgeGraph:
         return best.select(rank.alias("rank"), F.concat_ws(" ", "s", "edge_type", "t").alias("triple"), "score")
 
 
-def local_index(nodes: DataFrame, *, buckets: int = 256) -> DataFrame:
+def local_index(nodes: DataFrame) -> DataFrame:
     """Nodes with their place within their type, from 0, in the order of their ids: (id, node_type, i).
 
-    A type's places are counted in ranges of ids: range partitioning puts each range in one task, and the
-    ranges' sizes, few rows, are added up; so no type is sorted in one task."""
-    typed = nodes.filter("node_type is not null").select("node_type", "id")
-    ranged = checkpoint(typed.repartitionByRange(buckets, "node_type", "id").withColumn("part", F.spark_partition_id()))
-    sizes = ranged.groupBy("node_type", "part").agg(F.count(F.lit(1)).alias("n"))
-    start = sizes.withColumn("start", F.sum("n").over(W.partitionBy("node_type").orderBy("part").rowsBetween(W.unboundedPreceding, -1))).select("node_type", "part", F.coalesce("start", F.lit(0)).alias("start"))
-    place = F.row_number().over(W.partitionBy("node_type", "part").orderBy("id")) - 1
-    return ranged.withColumn("k", place).join(start, ["node_type", "part"]).select("id", "node_type", (F.col("start") + F.col("k")).alias("i"))
+    Places in the order of type and id come from running totals over ranges; a type starts where its first place is."""
+    typed = nodes.filter("node_type is not null").select("node_type", "id", F.lit(1).alias("one"))
+    placed = checkpoint(running_totals(typed, [F.col("node_type"), F.col("id")], {"at": "one"}))
+    first = placed.groupBy("node_type").agg(F.min("at").alias("first"))
+    return placed.join(F.broadcast(first), "node_type").select("id", "node_type", (F.col("at") - F.col("first")).alias("i"))
 
 
 def numbered(ids: DataFrame, name: str) -> DataFrame:

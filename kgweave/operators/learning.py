@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..schema import NODE_TYPES
 from .analytics import directed_degree
 from .graph import KnowledgeGraph, local_index
-from .runtime import checkpoint
+from .runtime import checkpoint, running_totals
 
 
 def node_features(kg: KnowledgeGraph, ranks: DataFrame) -> DataFrame:
@@ -192,8 +192,7 @@ def cooccurrence(walks: DataFrame, *, window: int = 3) -> DataFrame:
 def _cumulative(samples: DataFrame) -> DataFrame:
     """By distinct score, from the highest: positives and negatives here and so far."""
     s = samples.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
-    w = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    return s.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("q").over(w))
+    return running_totals(s, [F.desc("score")], {"tp": "p", "fp": "q"})
 
 
 def auroc(samples: DataFrame) -> DataFrame:
@@ -213,11 +212,8 @@ def auprc(samples: DataFrame) -> DataFrame:
 def ranking_metrics(samples: DataFrame, *, ks: tuple[int, ...] = (10, 50)) -> DataFrame:
     """(mrr, hits_10, …) over one ranking of all samples (sample, label, score), ties to the greater sample.
 
-    Ranks come from counts by score and a place among equals, so only distinct scores pass one window."""
-    by = samples.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-    above = by.withColumn("above", F.sum("n").over(W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1))).select("score", F.coalesce("above", F.lit(0)).alias("above"))
-    place = F.row_number().over(W.partitionBy("score").orderBy(F.desc("sample")))
-    r = samples.join(above, "score").withColumn("rank", F.col("above") + place).filter("label = 1")
+    Ranks are running totals over ranges of the ranking."""
+    r = running_totals(samples.select("sample", "label", "score", F.lit(1).alias("one")), [F.desc("score"), F.desc("sample")], {"rank": "one"}).filter("label = 1")
     return r.agg(F.coalesce(F.avg(1.0 / F.col("rank")), F.lit(0.0)).alias("mrr"), *[F.coalesce(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), F.lit(0.0)).alias(f"hits_{k}") for k in ks])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -46,3 +47,18 @@ def replicate(side: DataFrame, keys: list[str], hot: DataFrame, *, salts: int =
     marked = side.join(F.broadcast(hot), keys, "left")
     numbers = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return marked.withColumn(name, F.explode(numbers)).drop("_hot")
+
+
+def running_totals(rows: DataFrame, order: list[Column], totals: dict[str, str], *, parts: int | None = None) -> DataFrame:
+    """``rows`` with, for each new name in ``totals``, the sum of a column over this row and all before it in ``order``.
+
+    The order must tell any two rows apart.  Rows are split into ranges of it, each range is summed in its own task and
+    the ranges' sums, one row each, are added up; so no task sees all rows."""
+    parts = parts or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    ranged = checkpoint(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    own = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_s{i}") for i, c in enumerate(totals.values())])
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    own = own.select("_part", *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_b{i}") for i in range(len(totals))])
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    summed = ranged.join(own, "_part").withColumns({name: F.sum(c).over(inside) + F.col(f"_b{i}") for i, (name, c) in enumerate(totals.items())})
+    return summed.drop("_part", *[f"_b{i}" for i in range(len(totals))])

@@ -134,7 +134,7 @@ def test_trend_values(spark):
 
 def test_local_index(spark):
     n = spark.createDataFrame([(f"x{i:03d}", "Gene" if i % 3 else "Drug") for i in range(100)], "id string, node_type string")
-    got = G.local_index(n, buckets=7).toPandas()
+    got = G.local_index(n).toPandas()
     for _, g in got.groupby("node_type"):
         assert g.sort_values("id")["i"].tolist() == list(range(len(g)))
 
