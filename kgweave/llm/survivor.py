@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.runtime import checkpoint
+
 #: What is written where nothing is known, in lower case and trimmed.
 EMPTY_WORDS = ["", "-", "--", "?", "n/a", "na", "none", "null", "unknown", "tbd", "missing", "not available"]
 
@@ -35,11 +37,10 @@ def best_rank(sources: Column, trust: DataFrame, *, source: str, rank: str, boun
 def learn_precedence(values: DataFrame) -> DataFrame:
     """(field, earlier, later): value changes seen more often in this direction than in the other.
 
-    ``values``: (id, field, value, at).  Per group only changes between neighbours in time are
+    ``values``: (id, field, value, at), each value of a group once with its latest time.  Per group only changes between neighbours in time are
     looked at, in one window per month and one over the months, so a group of any size is
     spread over tasks."""
-    seen = values.filter(F.col("at").isNotNull()).groupBy("id", "field", "value").agg(F.max("at").alias("at"))
-    seen = seen.withColumn("month", F.date_format("at", "yyyy-MM"))
+    seen = values.filter(F.col("at").isNotNull()).withColumn("month", F.date_format("at", "yyyy-MM"))
     inner = W.partitionBy("id", "field", "month").orderBy("at", "value")
     steps = seen.select("field", F.lag("value").over(inner).alias("earlier"), F.col("value").alias("later"))
     months = seen.groupBy("id", "field", "month").agg(F.min(F.struct("at", "value")).alias("a"), F.max(F.struct("at", "value")).alias("z"))
@@ -70,14 +71,20 @@ def best_fields(records: DataFrame, trust: DataFrame, *, id: str = "id", record:
     Repeated rows count once, null ids or records not at all; empty tables give an empty result.
     """
     values = field_values(records, id=id, record=record, name=name, properties=properties, rank=best_rank(F.col(sources), trust, source=trust_source, rank=trust_rank), at=at)
-    undated = values.groupBy("id", "field").agg(F.max(F.col("at").isNull()).alias("undated")).filter("undated").select("id", "field")
-    open_values = values.join(undated, ["id", "field"], "left_semi").groupBy("id", "field", "value").agg(F.lit(1).alias("one")).drop("one")
-    later = open_values.withColumnRenamed("value", "earlier").join(learn_precedence(values), ["field", "earlier"])
+    late = F.coalesce(-F.unix_micros(F.col("at").cast("timestamp")), F.lit((1 << 63) - 1))
+    first = F.min(F.struct(F.coalesce("rank", F.lit((1 << 31) - 1)).alias("rank"), late.alias("late"), F.col("record").alias("record"))).alias("first")
+    # Each value once, with its own best record; all else reads these rows.
+    seen = checkpoint(values.groupBy("id", "field", "value").agg(first, F.max("at").alias("at"), F.max(F.col("at").isNull()).alias("undated")))
+    undated = seen.filter("undated").select("id", "field").distinct()
+    in_doubt = seen.join(undated, ["id", "field"], "left_semi")
+    open_values = in_doubt.select("id", "field", "value")
+    later = open_values.withColumnRenamed("value", "earlier").join(learn_precedence(seen), ["field", "earlier"])
     passed = later.join(open_values.withColumnRenamed("value", "later"), ["id", "field", "later"], "left_semi").groupBy("id", "field", F.col("earlier").alias("value")).agg(F.lit(True).alias("passed"))
-    ranked = values.join(passed, ["id", "field", "value"], "left")
-    micros = F.coalesce(-F.unix_micros(F.col("at").cast("timestamp")), F.lit((1 << 63) - 1))
-    order = F.struct(F.coalesce("rank", F.lit((1 << 31) - 1)).alias("rank"), F.coalesce("passed", F.lit(False)).alias("passed"), micros.alias("late"), F.col("record").alias("record"), F.col("value").alias("value"))
-    best = ranked.groupBy("id", "field").agg(F.min(order).alias("best"))
+    in_doubt = in_doubt.join(passed, ["id", "field", "value"], "left").select("id", "field", "value", "first", F.coalesce("passed", F.lit(False)).alias("passed"))
+    dated = seen.join(undated, ["id", "field"], "left_anti").select("id", "field", "value", "first", F.lit(False).alias("passed"))
+    order = F.struct("first.rank", "passed", "first.late", F.col("first.record").alias("record"), "value")
+    pick = lambda df: df.groupBy("id", "field").agg(F.min(order).alias("best"))
+    best = pick(dated).unionByName(pick(in_doubt))
     several = records.filter(F.col(id).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.min(record).alias("a"), F.max(record).alias("z")).filter("a < z").select("id")
     return best.join(several, "id", "left_semi").select("id", "field", F.col("best.record").alias("record"), F.col("best.value").alias("value"))
 
