@@ -10,6 +10,9 @@ from ..operators.runtime import table
 from ..sources import readers as S
 from .testbed import GRAPH, slim_graph
 
+_BLANK = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_STRIP = "regexp_replace({}, '^" + _BLANK.replace("{", "{{").replace("}", "}}") + "+|" + _BLANK.replace("{", "{{").replace("}", "}}") + "+$', '', 'g')"
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -30,13 +33,13 @@ def _vocabulary(spark, d, kind):
 @query("""
 WITH v AS (SELECT DISTINCT term_id, name, synonyms FROM vocab_terms WHERE kind = 'drug'), k AS (SELECT term_id, name, 0 AS how, lower(name) AS key FROM v UNION ALL SELECT term_id, name, 1, lower(unnest(synonyms)) FROM v),
 b AS (SELECT key, term_id, name FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY how, term_id) = 1),
-n AS (SELECT DISTINCT x AS name FROM (SELECT unnest(drugs) AS x FROM clinical_intake) WHERE x IS NOT NULL AND regexp_full_match(x, '[a-zA-Z0-9 -]*'))
-SELECT n.name, coalesce(b.term_id, '') AS id, b.name AS label FROM n LEFT JOIN b ON b.key = lower(trim(n.name)) WHERE b.term_id IS NOT NULL
+n AS (SELECT DISTINCT x AS name FROM (SELECT unnest(drugs) AS x FROM clinical_intake) WHERE x IS NOT NULL)
+SELECT n.name, coalesce(b.term_id, '') AS id FROM n LEFT JOIN b ON b.key = lower(""" + _STRIP.format("n.name") + """)
 """)
 def s15_normalise_drugs(spark, d):
     v = _vocabulary(spark, d, "drug").select(F.col("term_id").alias("id"), F.col("name").alias("label"), "synonyms")
-    names = table(spark, d, "clinical_intake").select(F.explode("drugs").alias("name")).filter(F.col("name").rlike("^[a-zA-Z0-9 -]*$"))
-    return C.normalise_names(names, v).filter("id <> ''")
+    names = table(spark, d, "clinical_intake").select(F.explode("drugs").alias("name")).filter("name is not null")
+    return C.normalise_names(names, v).select("name", "id")
 
 
 @query(GRAPH + """, rr AS (SELECT source_id AS a, target_id AS b, CASE WHEN score >= 0.9 THEN 'severe' WHEN score >= 0.5 THEN 'monitor' ELSE 'minor' END AS s, source_id || target_id AS seq FROM edges WHERE edge_type = 'drug_interacts_with_drug' AND source_id <> target_id AND trim(source_id) <> '' AND trim(target_id) <> ''),
@@ -55,11 +58,11 @@ def c01_interactions(spark, d):
 
 
 @query("""
-WITH c AS (SELECT DISTINCT name AS condition FROM vocab_terms WHERE kind = 'disease' AND term_id LIKE '%0')
+WITH c AS (SELECT DISTINCT name AS condition FROM vocab_terms WHERE kind = 'disease')
 SELECT DISTINCT doc_id AS label, condition FROM documents, c WHERE contains(lower(text), lower(condition))
 """)
 def c04_contraindications(spark, d):
-    c = _vocabulary(spark, d, "disease").filter("term_id like '%0'").select(F.col("name").alias("condition"))
+    c = _vocabulary(spark, d, "disease").select(F.col("name").alias("condition"))
     return C.contraindications(table(spark, d, "documents").select(F.col("doc_id").alias("label"), "text"), c)
 
 
@@ -70,14 +73,14 @@ def c05_findings(spark, d):
 
 _TERMS = """
 WITH t AS (SELECT DISTINCT term_id, lower(name) AS n, coalesce(list_transform(synonyms, lambda s: lower(s)), []) AS s FROM vocab_terms WHERE kind = 'phenotype'),
-q AS (SELECT DISTINCT input_term AS query, lower(trim(input_term)) AS q FROM clinical_intake WHERE regexp_full_match(input_term, '[a-zA-Z -]*') AND trim(input_term) <> ''),
+q AS (SELECT * FROM (SELECT DISTINCT input_term AS query, lower(""" + _STRIP.format("input_term") + """) AS q FROM clinical_intake) WHERE q <> ''),
 h AS (SELECT query, term_id, CAST(CASE WHEN q = n THEN 2 ELSE 0 END + CASE WHEN contains(n, q) THEN 1 ELSE 0 END + CASE WHEN len(list_filter(s, lambda x: contains(x, q) OR contains(q, x))) > 0 THEN 1 ELSE 0 END AS DOUBLE) AS score FROM q, t),
 k AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, term_id) AS rank, term_id, score FROM h WHERE score > 0)
 """
 
 
 def _searched(spark, d, top):
-    q = table(spark, d, "clinical_intake").filter(F.col("input_term").rlike("^[a-zA-Z -]*$")).select(F.col("input_term").alias("query"))
+    q = table(spark, d, "clinical_intake").select(F.col("input_term").alias("query"))
     return C.search_terms(q, _vocabulary(spark, d, "phenotype"), top=top)
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import clinical, graph, learning, retrieval
+from . import clinical, graph, learning, more, retrieval
 
-MODULES = (graph, retrieval, learning, clinical)
+MODULES = (graph, retrieval, learning, clinical, more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -75,12 +75,12 @@ def r04_dense_search(spark, d):
 
 
 @query("""
-WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT label, vec_id, e FROM v WHERE vec_id < 10)
+WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT label, vec_id, e FROM v WHERE vec_id % 50 = 0)
 SELECT v.vec_id, c.vec_id AS other, round(list_cosine_similarity(v.e, c.e), 6) AS score FROM v JOIN c ON c.label = v.label
 """)
 def r03_cosine(spark, d):
     v = table(spark, d, "embeddings")
-    c = v.filter("vec_id < 10").select(F.col("vec_id").alias("other"), "label", F.col("embedding").alias("e"))
+    c = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("other"), "label", F.col("embedding").alias("e"))
     return v.join(c, "label").select("vec_id", "other", F.round(R.cosine(F.col("embedding"), F.col("e")), 6).alias("score"))
 
 
@@ -122,12 +122,13 @@ def r13_entity_candidates(spark, d):
 WITH r AS (SELECT article_id, authors, year FROM pubmed_articles),
 k AS (SELECT article_id, coalesce(CASE WHEN len(authors) > 0 THEN nullif(trim(split_part(trim(authors[1]), ' ', 1), ','), '') END, 'Unknown') || CASE WHEN len(authors) > 1 THEN ' et al., ' ELSE ', ' END || coalesce(CAST(year AS VARCHAR), 'n.d.') AS key FROM r),
 n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY article_id) AS n FROM k)
-SELECT article_id, key || CASE WHEN n = 1 THEN '' ELSE chr(CAST(95 + n AS INTEGER)) END AS citation FROM n WHERE n <= 27
+SELECT article_id, key || CASE WHEN n = 1 THEN '' WHEN n <= 27 THEN chr(CAST(95 + n AS INTEGER)) ELSE CAST(n AS VARCHAR) END AS citation FROM n
 """)
 def r17_citation_keys(spark, d):
     a = table(spark, d, "pubmed_articles").select("article_id", X.inline_citation(F.col("authors"), F.col("year")).alias("key"))
-    n = a.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("article_id"))).filter("n <= 27")
-    return n.select("article_id", F.concat("key", F.when(F.col("n") == 1, "").otherwise(F.chr(F.col("n") + 95))).alias("citation"))
+    n = a.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("article_id")))
+    suffix = F.when(F.col("n") == 1, "").when(F.col("n") <= 27, F.chr(F.col("n") + 95)).otherwise(F.col("n").cast("string"))
+    return n.select("article_id", F.concat("key", suffix).alias("citation"))
 
 
 _CITED = r"list_distinct(regexp_extract_all(text, '\[(?:PMID:)?(\d+)\]', 1))"
@@ -165,11 +166,11 @@ def i12_index_stats(spark, d):
 
 
 @query("""SELECT DISTINCT sha256('m' || chr(0) || text) AS cache_key FROM documents WHERE text IS NOT NULL
-AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL)""")
+AND text NOT IN (SELECT abstract FROM pubmed_articles WHERE abstract IS NOT NULL)""")
 def i15_cache_misses(spark, d):
-    t = table(spark, d, "documents").select("doc_id", "text")
-    cache = t.filter("doc_id % 2 = 0 and text is not null").select(F.sha2(F.concat(F.lit("m"), F.lit("\0"), "text"), 256).alias("cache_key"))
-    return R.cache_misses(t, cache, "m").select("cache_key")
+    """Texts of documents that aren't cached as abstracts."""
+    cache = table(spark, d, "pubmed_articles").filter("abstract is not null").select(F.sha2(F.concat(F.lit("m"), F.lit("\0"), "abstract"), 256).alias("cache_key"))
+    return R.cache_misses(table(spark, d, "documents").select("text"), cache, "m").select("cache_key")
 
 
 def _rule(words, col):
@@ -220,12 +221,13 @@ def o22_chunks(spark, d):
     return c.select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("piece").alias("digest"))
 
 
-@query("""SELECT doc_id, CAST(least(10.0, 5.0 + CASE WHEN len(list_filter(regexp_split_to_array(trim(text, ' \t\n\r'), '\\s+'), lambda x: x <> '')) >= 80 THEN 2.0 ELSE 0 END
- + CASE WHEN len(list_distinct(regexp_extract_all(text, '\\[(?:PMID:)?(\\d+)\\]', 1))) >= 2 THEN 2.5 ELSE 0 END + CASE WHEN NOT contains(lower(text), 'insufficient evidence') THEN 0.5 ELSE 0 END) AS DOUBLE) AS score
-FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[ -~\\n\\t\\r]*')""")
+_BLANK = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@query(rf"""SELECT doc_id, CAST(least(10.0, 5.0 + CASE WHEN len(list_filter(regexp_split_to_array(text, '{_BLANK}+'), lambda x: x <> '')) >= 80 THEN 2.0 ELSE 0 END
+ + CASE WHEN len(list_distinct(regexp_extract_all(text, '\[(?:PMID:)?(\d+)\]', 1))) >= 2 THEN 2.5 ELSE 0 END + CASE WHEN NOT contains(lower(text), 'insufficient evidence') THEN 0.5 ELSE 0 END) AS DOUBLE) AS score FROM documents WHERE text IS NOT NULL""")
 def o12_critique(spark, d):
-    t = table(spark, d, "documents").filter(F.col("text").rlike(r"^[ -~\n\t\r]*$"))
-    return t.select("doc_id", X.critique(F.col("text")).alias("score"))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", X.critique(F.col("text")).alias("score"))
 
 
 @query()
