@@ -41,10 +41,12 @@ def duck():
 
 def rows(df):
     """Rows of a pandas frame, columns by name, numbers to six digits, sorted."""
+    import pandas as pd
+
     df = df[sorted(df.columns)]
     out = []
     for r in df.itertuples(index=False):
-        out.append(tuple(None if v is None or v != v else round(float(v), 6) + 0.0 if isinstance(v, (int, float)) or hasattr(v, "dtype") and getattr(v, "ndim", 1) == 0 else str(v) for v in r))
+        out.append(tuple(None if v is None or v is pd.NA or v != v else round(float(v), 6) + 0.0 if isinstance(v, (int, float)) or hasattr(v, "dtype") and getattr(v, "ndim", 1) == 0 else str(v) for v in r))
     return sorted(out, key=repr)
 
 
