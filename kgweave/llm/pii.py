@@ -1,7 +1,7 @@
 """Personal information inside free text (problem 10).
 
 Spans come from the character tagger of :mod:`kgweave.llm.pii_model`.  An exact check follows
-that only trims a span's edges and drops one that can't be what it is said to be.
+that only trims a span's edges, makes its words whole and drops one that can't be what it is said to be.
 """
 
 from __future__ import annotations
@@ -22,12 +22,17 @@ _TITLE = re.compile(r"^(?:(?:dr|prof|mr|mrs|ms|frau|herr|mme|sr|sra|dra)\b\.?\s+
 
 
 def check_span(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
-    """The span with blanks and stray marks trimmed off its edges, or None if it lacks what its kind must have."""
+    """The span with blanks and stray marks trimmed off its edges and words made whole, or None if it lacks what its kind must have."""
     edge = {"name": ",;:<>()[]|\"", "email": ",;:.<>()|\"", "phone": ",;:.", "id_number": ",;:.#()", "address": ",;:()"}[kind]
     while a < b and (text[a].isspace() or text[a] in edge.replace("(", "" if kind == "phone" else "(")):
         a += 1
     while b > a and (text[b - 1].isspace() or text[b - 1] in edge):
         b -= 1
+    if kind in ("name", "address") and a < b:  # never half a word
+        while a and text[a].isalpha() and text[a - 1].isalpha():
+            a -= 1
+        while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
+            b += 1
     s = text[a:b]
     digits = sum(c.isdigit() for c in s)
     if kind == "name":
@@ -62,8 +67,12 @@ def tag_texts(texts: list[str]) -> Iterator[list[tuple[int, int, str]]]:
             size += len(t)
         if group and (t is None or size >= PART_CHARS):
             for text, spans in zip(group, tagger.spans(group), strict=True):
-                checked = ((check_span(text, a, b, k), k) for a, b, k in spans)
-                yield [(*s, k) for s, k in checked if s]
+                out: list[tuple[int, int, str]] = []
+                for a, b, k in spans:
+                    s = check_span(text, a, b, k)
+                    if s and s[0] >= (out[-1][1] if out else 0):
+                        out.append((*s, k))
+                yield out
             group, size = [], 0
 
 
