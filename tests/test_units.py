@@ -80,6 +80,5 @@ def test_table(spark):
         (None, "Ki", 1.0, "nM", None, "D", None, None),
     ]
     out = to_picomolar(spark.createDataFrame(data, COLS), drugs, **NAMES)
-    assert {tuple(r) for r in out.collect()} == {(1, 2_000_000), (3, 1000), (5, 1000)} - {(5, 1000)} | {r for r in map(tuple, out.collect()) if r[0] == 5}
-    assert out.filter("activity_id in (1, 3)").count() == 2
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 2_000_000), (3, 1000)]
     assert to_picomolar(spark.createDataFrame([], COLS), drugs, **NAMES).count() == 0
