@@ -1,14 +1,11 @@
-"""Character-level bidirectional LSTM with CRF transitions, in numpy, behind a cheap gate.
+"""Character-level bidirectional LSTM with CRF transitions, in numpy.
 
 :func:`fit` trains it from labelled spans by full back-propagation and Adam;
 :class:`Tagger` decodes texts: overlapping windows run through both directions, each
 position takes its scores from the window in which it lies deepest, and one Viterbi pass
 over the scores of each stretch reconciles them, so spans may cross windows.
 
-The gate decides where windows are laid: every trigram of every text has a log-odds weight, learned
-from the same labelled spans, of standing in a span or just before one.  Where sixteen
-trigrams in a row add up to :data:`GATE_LEAST`, the characters around them are decoded; trigrams never seen
-count as likely, so unknown names pass.  On held-out documents the gate lets every labelled span through.
+Every character of every text is decoded; nothing decides beforehand where spans may be.
 """
 
 from __future__ import annotations
@@ -21,7 +18,6 @@ import numpy as np
 
 from .pii_labels import KINDS
 
-GATE_SPAN, GATE_LEAST, GATE_SCALE, AROUND = 16, 2.0, 40, 36
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 K = len(TAGS)
 WINDOW, MARGIN = 320, 32
@@ -55,74 +51,6 @@ def encode(text: str) -> np.ndarray:
     return np.where(cps < len(_TABLE), _TABLE[np.minimum(cps, len(_TABLE) - 1)], 134).astype(np.int16)
 
 
-def _fold_table() -> np.ndarray:
-    """Gate class below 64 of each code point below 0x2100 and, last, of all others; case and digits don't matter, 0 is kept for the ends of texts."""
-    marks = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-    out = np.full(len(_TABLE) + 1, 63, np.uint8)
-    for cp, c in enumerate(_TABLE):
-        ch = chr(c) if c < 128 else ""
-        if ch.isalpha():
-            out[cp] = ord(ch.lower()) - 96
-        elif ch.isdigit() or c == 130:
-            out[cp] = 27
-        elif ch and ch in " \n\t\r":
-            out[cp] = 28
-        elif c in (128, 129, 132):
-            out[cp] = 29
-        elif c == 131:
-            out[cp] = 30
-        elif ch and ch in marks:
-            out[cp] = 31 + marks.index(ch)
-    return out
-
-
-_FOLD = _fold_table()
-
-
-def gate_classes(text: str) -> np.ndarray:
-    cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return _FOLD[np.minimum(cps, len(_FOLD) - 1)]
-
-
-def trigrams(classes: np.ndarray) -> np.ndarray:
-    x = classes.astype(np.int32)
-    return (x[:-2] << 12) + (x[1:-1] << 6) + x[2:]
-
-
-def fit_gate(texts: list[str], spans: list[list[tuple[int, int, str]]], *, before: int = 20) -> np.ndarray:
-    """Weights of all trigrams: log-odds of standing in a labelled span or up to ``before`` characters before it, in steps of 1 / GATE_SCALE,
-    then raised where a labelled span wouldn't pass."""
-    inside, outside = np.full(1 << 18, 0.5), np.full(1 << 18, 0.5)
-    for text, own in zip(texts, spans, strict=True):
-        h = trigrams(gate_classes(text))
-        near = np.zeros(len(h), bool)
-        for a, b, _ in own:
-            near[max(0, a - before) : b] = True
-        inside += np.bincount(h[near], minlength=1 << 18)
-        outside += np.bincount(h[~near], minlength=1 << 18)
-    w = np.clip(np.log(inside / inside.sum()) - np.log(outside / outside.sum()), -3, 3)
-    rows = []
-    for text, own in zip(texts, spans, strict=True):
-        h = trigrams(gate_classes(text))
-        rows += [h[max(0, a - before) : b] for a, b, _ in own if len(h) >= GATE_SPAN]
-    for _ in range(40):  # raise the best window of each labelled span that doesn't pass by a margin
-        low = 0
-        for h in rows:
-            if len(h) < GATE_SPAN:
-                continue
-            sums = np.convolve(w[h], np.ones(GATE_SPAN), "valid")
-            k = int(sums.argmax())
-            if sums[k] < GATE_LEAST + 3:
-                w[h[k : k + GATE_SPAN]] += 0.1
-                low += 1
-        if not low:
-            break
-    w = np.rint(np.clip(w, -3, 3) * GATE_SCALE).astype(np.int8)
-    x = np.arange(1 << 18)
-    w[(x >> 12 == 0) | (x >> 6 & 63 == 0) | (x & 63 == 0)] = -3 * GATE_SCALE
-    return w
-
-
 def tags_of(n: int, spans: list[tuple[int, int, str]]) -> np.ndarray:
     y = np.zeros(n, np.int8)
     for a, b, kind in spans:
@@ -171,6 +99,29 @@ def _lstm(w: dict, d: str, z: np.ndarray, keep: bool):
     return hs, memo
 
 
+def _lstm_fast(h_w: np.ndarray, proj: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Hidden states [T, B, H] for classes x [T, B]; ``h_w`` and ``proj`` have the columns of i, f and o halved, so one tanh serves all gates."""
+    t_max, b = x.shape
+    n = h_w.shape[0]
+    hs = np.empty((t_max, b, n), np.float32)
+    a, z = np.empty((b, 4 * n), np.float32), np.empty((b, 4 * n), np.float32)
+    h, c, ig = np.zeros((b, n), np.float32), np.zeros((b, n), np.float32), np.empty((b, n), np.float32)
+    s, g = a[:, : 3 * n], a[:, 3 * n :]
+    for t in range(t_max):
+        np.matmul(h, h_w, out=a)
+        a += np.take(proj, x[t], axis=0, out=z, mode="clip")
+        np.tanh(a, out=a)
+        s *= 0.5
+        s += 0.5
+        c *= s[:, n : 2 * n]
+        np.multiply(s[:, :n], g, out=ig)
+        c += ig
+        h = hs[t]
+        np.tanh(c, out=h)
+        h *= s[:, 2 * n :]
+    return hs
+
+
 def _lstm_back(w: dict, d: str, dh_all: np.ndarray, hs: np.ndarray, memo):
     gates, cs, tcs = memo
     t_max, b, n = hs.shape
@@ -291,18 +242,20 @@ class Tagger:
     def __init__(self, w: dict | None = None, *, window: int = WINDOW, margin: int = MARGIN, batch: int = 512):
         if w is None:
             with np.load(MODEL_FILE) as z:
-                w = {k: z[k] if k == "gate" else z[k].astype(np.float32) for k in z.files}
-        self.gate = w.get("gate")
+                w = {k: z[k].astype(np.float32) for k in z.files if k != "gate"}
         self.w, self.window, self.margin, self.batch = w, window, margin, batch
-        self.proj = {d: w["E"] @ w["X" + d] + w["b" + d] for d in "fb"}
+        half = np.ones(w["Hf"].shape[1], np.float32)
+        half[: 3 * len(w["Hf"])] = 0.5
+        self.proj = {d: (w["E"] @ w["X" + d] + w["b" + d]) * half for d in "fb"}
+        self.rec = {d: w["H" + d] * half for d in "fb"}
 
     def _emissions(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """x [B, T] padded on the right; the backward pass starts at each row's own end."""
         b, t_max = x.shape
-        hf, _ = _lstm(self.w, "f", self.proj["f"][x.T], False)
+        hf = _lstm_fast(self.rec["f"], self.proj["f"], np.ascontiguousarray(x.T))
         at = lengths[:, None] - 1 - np.arange(t_max)[None]
         back = np.where(at >= 0, x[np.arange(b)[:, None], np.maximum(at, 0)], PAD)
-        hb, _ = _lstm(self.w, "b", self.proj["b"][back.T], False)
+        hb = _lstm_fast(self.rec["b"], self.proj["b"], np.ascontiguousarray(back.T))
         n = hf.shape[2]
         ef = hf @ self.w["O"][:n] + self.w["c"]
         eb = (hb @ self.w["O"][n:]).transpose(1, 0, 2)
@@ -366,32 +319,8 @@ class Tagger:
         return tags
 
     def stretches(self, texts: list[str]) -> list[tuple[int, int, int]]:
-        """(text, start, end) of what the gate lets through, disjoint and in order; texts too short for it whole."""
-        if self.gate is None:
-            return [(i, 0, len(t)) for i, t in enumerate(texts) if t]
-        glue = np.zeros(GATE_SPAN + 2, np.uint8)
-        parts, starts, at = [], [], 0
-        for t in texts:
-            c = gate_classes(t)
-            starts.append(at)
-            parts += [c, glue]
-            at += len(c) + len(glue)
-        sums = np.cumsum(self.gate[trigrams(np.concatenate(parts))], dtype=np.int32) if parts else np.zeros(0, np.int32)
-        sums[GATE_SPAN:] -= sums[:-GATE_SPAN].copy()
-        hits = np.flatnonzero(sums[GATE_SPAN - 1 :] >= GATE_LEAST * GATE_SCALE)
-        out = [(i, 0, len(t)) for i, t in enumerate(texts) if 0 < len(t) <= GATE_SPAN + 2]
-        if len(hits):
-            first = np.r_[True, np.diff(hits) > GATE_SPAN + 2 + 2 * AROUND]
-            ends = np.r_[np.flatnonzero(first)[1:] - 1, len(hits) - 1]
-            owner = np.searchsorted(starts, hits, "right") - 1
-            for k, e in zip(np.flatnonzero(first), ends, strict=True):
-                for i in range(owner[k], owner[e] + 1):
-                    if len(texts[i]) > GATE_SPAN + 2:
-                        a = max(0, int(hits[k]) - AROUND - starts[i])
-                        z = min(len(texts[i]), int(hits[e]) + GATE_SPAN + 2 + AROUND - starts[i])
-                        if z > a:
-                            out.append((i, a, z))
-        return sorted(out)
+        """(text, start, end) of what is decoded: every text from its first to its last character."""
+        return [(i, 0, len(t)) for i, t in enumerate(texts) if t]
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """Spans (start, end, kind) in code points of each text."""

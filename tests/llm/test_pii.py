@@ -75,3 +75,11 @@ def test_redaction_keeps_the_rest(spark):
         for a, b, kind in reversed(s):
             rest = rest[:a] + pii.PLACEHOLDERS[kind] + rest[b:]
         assert red[i] == rest
+
+
+def test_every_character_is_decoded():
+    tagger = pii_model.Tagger()
+    t = [*texts()[:20], "x", ""]
+    assert tagger.stretches(t) == [(i, 0, len(x)) for i, x in enumerate(t) if x]
+    for name, text in (("Elena Rossi", "The patient, Elena Rossi, was seen again on the ward.\nKDKL4 expression was variable"), ("Laura Schmidt", "The patient, Laura Schmidt, was seen again on the ward.\nPlease copy the result to P")):
+        assert [text[a:b] for a, b, _ in tagger.spans([text])[0]] == [name]
