@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import KnowledgeGraph
-from .runtime import checkpoint
+from .runtime import checkpoint, running_totals
 
 
 def universe(kg: KnowledgeGraph) -> DataFrame:
@@ -128,55 +128,104 @@ def target_ranking(kg: KnowledgeGraph, centrality: DataFrame, betweenness: DataF
     return g.select("id", "name", combined.alias("combined"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), combined + extra)).alias("druggability"), z("drugs").alias("drugs"), z("pathways").alias("pathways"), z("diseases").alias("diseases"))
 
 
-def betweenness(kg: KnowledgeGraph, *, max_nodes: int = 20_000, parts: int = 64) -> DataFrame:
+def _reach(indptr, indices, s: int):
+    """Shortest paths from one node: (number of paths to each node, steps of each level as (from, to))."""
+    import numpy as np
+
+    n = len(indptr) - 1
+    seen, sigma, steps = np.zeros(n, bool), np.zeros(n), []
+    seen[s], sigma[s] = True, 1.0
+    front = np.array([s])
+    while True:
+        many = indptr[front + 1] - indptr[front]
+        at = np.repeat(indptr[front] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        a, b = np.repeat(front, many), indices[at]
+        new = ~seen[b]
+        a, b = a[new], b[new]
+        if not len(b):
+            return sigma, steps
+        front = _add(sigma, b, sigma[a])
+        seen[front] = True
+        steps.append((a, b))
+
+
+def _add(total, at, values):
+    """Add values to ``total`` by place; return the places.  Costs no more than the values, so deep graphs stay cheap."""
+    import numpy as np
+
+    if 8 * len(at) > len(total):
+        sums = np.bincount(at, values, len(total))
+        total += sums
+        return np.flatnonzero(sums)
+    places, inverse = np.unique(at, return_inverse=True)
+    total[places] += np.bincount(inverse, values)
+    return places
+
+
+def _betweenness_by_joins(pairs: DataFrame, nodes: DataFrame, n: int, *, batch: int) -> DataFrame:
+    """(id, b): the sums of Brandes over all sources, some ``batch`` sources at a time, each level a join; nothing is gathered in one place."""
+    groups = -(-n // batch)
+    done = None
+    for k in range(groups):
+        level = checkpoint(nodes.filter(F.pmod(F.xxhash64("id"), F.lit(groups)) == k).select(F.col("id").alias("s"), "id", F.lit(1.0).alias("sigma")))
+        levels = [level]
+        seen = level.select("s", "id")
+        while True:
+            step = level.join(pairs, "id").groupBy("s", F.col("other").alias("id")).agg(F.sum("sigma").alias("sigma"))
+            level = checkpoint(step.join(seen, ["s", "id"], "left_anti"))
+            if not level.take(1):
+                break
+            levels.append(level)
+            seen = seen.unionByName(level.select("s", "id"))
+        delta, sums = levels[-1].withColumn("delta", F.lit(0.0)), done
+        for near in reversed(levels[1:-1]):
+            back = delta.join(pairs, "id").groupBy("s", F.col("other").alias("id")).agg(F.sum((1 + F.col("delta")) / F.col("sigma")).alias("part"))
+            delta = checkpoint(near.join(back, ["s", "id"], "left").select("s", "id", "sigma", (F.col("sigma") * F.coalesce("part", F.lit(0.0))).alias("delta")))
+            own = delta.groupBy("id").agg(F.sum("delta").alias("b"))
+            sums = own if sums is None else sums.unionByName(own)
+        done = sums if sums is None else checkpoint(sums.groupBy("id").agg(F.sum("b").alias("b")))
+    return nodes.select("id", F.lit(0.0).alias("b")).limit(0) if done is None else done
+
+
+def betweenness(kg: KnowledgeGraph, *, max_nodes: int | None = None, parts: int = 64, broadcast_pairs: int = 10_000_000, batch: int = 256) -> DataFrame:
     """(id, betweenness): exact Brandes, unweighted and undirected, normalised by 1 / ((n - 1)(n - 2)).
 
-    Sources are spread over tasks; each task has the whole adjacency, so the graph must have at
-    most ``max_nodes`` nodes and this is checked first.  Larger graphs: take a subgraph."""
+    Every node is a source.  Up to ``broadcast_pairs`` nodes and pairs of neighbours (as integers, 4 bytes each) the sources are spread over
+    tasks that all have the whole adjacency; beyond, levels are joins for ``batch`` sources at a time.  Either way time grows with
+    nodes times edges.  Graphs of more than ``max_nodes`` nodes, if given, are refused."""
     import numpy as np
     import pandas as pd
 
-    ids = [r[0] for r in universe(kg).orderBy("id").limit(max_nodes + 1).collect()]
-    if len(ids) > max_nodes:
-        raise ValueError(f"exact betweenness takes graphs of up to {max_nodes} nodes")
-    at, n = {x: i for i, x in enumerate(ids)}, len(ids)
-    pairs = kg.neighbour_pairs().collect()
-    adj: list[list[int]] = [[] for _ in ids]
-    for a, b in pairs:
-        adj[at[a]].append(at[b])
     spark = kg.edges.sparkSession
-    shared = spark.sparkContext.broadcast([np.array(sorted(a), np.int64) for a in adj])
+    nodes = checkpoint(universe(kg))
+    n = nodes.count()
+    if max_nodes is not None and n > max_nodes:
+        raise ValueError(f"betweenness was asked for up to {max_nodes} nodes only")
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    pairs = checkpoint(kg.neighbour_pairs())
+    if max(n, pairs.count()) > broadcast_pairs:
+        sums = _betweenness_by_joins(pairs, nodes, n, batch=batch)
+        return nodes.join(sums, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
+    names = checkpoint(running_totals(nodes.withColumn("one", F.lit(1)), [F.col("id")], {"node": "one"}).select("id", (F.col("node") - 1).cast("int").alias("node")))
+    ends = pairs.join(names, "id").select("other", F.col("node").alias("a")).join(names.withColumnRenamed("id", "other"), "other").select("a", F.col("node").alias("b")).toArrow()
+    a, indices = ends["a"].to_numpy(), ends["b"].to_numpy()
+    indptr = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n))]).astype(np.int64)
+    shared = spark.sparkContext.broadcast((indptr, indices[np.argsort(a, kind="stable")]))
 
     def run(batches):
-        links = shared.value
-        total = np.zeros(n)
+        indptr, indices = shared.value
+        total = np.zeros(len(indptr) - 1)
         for pdf in batches:
             for s in pdf["id"]:
-                dist, sigma, order, before = np.full(n, -1), np.zeros(n), [], {}
-                dist[s], sigma[s], layer = 0, 1.0, [int(s)]
-                while layer:
-                    order.append(layer)
-                    nxt: dict[int, None] = {}
-                    for v in layer:
-                        for w in links[v]:
-                            if dist[w] < 0:
-                                dist[w] = dist[v] + 1
-                                nxt[int(w)] = None
-                            if dist[w] == dist[v] + 1:
-                                sigma[w] += sigma[v]
-                                before.setdefault(int(w), []).append(v)
-                    layer = list(nxt)
-                delta = np.zeros(n)
-                for layer in reversed(order[1:]):
-                    for w in layer:
-                        for v in before[w]:
-                            delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-                        total[w] += delta[w]
-        yield pd.DataFrame({"node": np.arange(n), "part": total})
-
-    sums = spark.range(n).repartition(parts).mapInPandas(run, "node long, part double").groupBy("node").agg(F.sum("part").alias("b"))
-    names = spark.createDataFrame(list(enumerate(ids)), "node long, id string")
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+                sigma, steps = _reach(indptr, indices, s)
+                delta = np.zeros(len(total))
+                for v, w in reversed(steps[1:]):
+                    _add(delta, v, sigma[v] / sigma[w] * (1 + delta[w]))
+                total += delta
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"node": some, "b": total[some]})
+
+    sums = spark.range(n).repartition(parts).mapInPandas(run, "node long, b double").groupBy("node").agg(F.sum("b").alias("b"))
     return names.join(sums, "node", "left").select("id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
 

@@ -177,10 +177,8 @@ def a15_typed_neighbours(spark, d):
 
 @query()
 def a02_betweenness(spark, d):
-    """Exact betweenness of the pathways' and tissues' part of the graph."""
-    kg = slim_graph(spark, d)
-    part = G.KnowledgeGraph(kg.nodes.filter("node_type in ('Pathway')"), kg.of_type("pathway_crosstalks_with"))
-    return A.betweenness(part).withColumn("betweenness", F.round("betweenness", 9))
+    """Exact betweenness of every node over all edges."""
+    return A.betweenness(slim_graph(spark, d)).withColumn("betweenness", F.round("betweenness", 9))
 
 
 @query("""WITH p AS (SELECT term_id AS k, kind, length(name) / 1000.0::DOUBLE AS p FROM (SELECT DISTINCT term_id, kind, name FROM vocab_terms)), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY p, k) AS rk, count(*) OVER (PARTITION BY kind) AS m FROM p)

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from kgweave.operators import analytics as A
 from kgweave.operators import graph as G
+from kgweave.plans import more
+from kgweave.plans.testbed import slim_graph
 from kgweave.schema import EDGE_TYPES, NODE_TYPES, checked, edge_type_between
 
+SMALL = "/root/testdata/sf0.001"
 E = "source_id string, target_id string, edge_type string, score double"
 
 
@@ -117,6 +120,39 @@ def test_pagerank_mass_and_betweenness(spark, some):
         A.betweenness(path, max_nodes=2)
 
 
+def test_betweenness_of_all_nodes_both_ways(spark, some):
+    edges, kg = some
+    adj = around(edges)
+    ids = sorted({x for e in edges for x in e[:2]})
+    want = dict.fromkeys(ids, 0.0)
+    for s in ids:
+        dist, sigma, q = {s: 0}, defaultdict(float, {s: 1.0}), deque([s])
+        order = []
+        while q:
+            v = q.popleft()
+            order.append(v)
+            for w in adj[v]:
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    q.append(w)
+                if dist[w] == dist[v] + 1:
+                    sigma[w] += sigma[v]
+        delta = defaultdict(float)
+        for w in reversed(order):
+            for v in adj[w]:
+                if dist[v] == dist[w] - 1:
+                    delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
+            want[w] += delta[w] * (w != s)
+    want = {x: b / ((len(ids) - 1) * (len(ids) - 2)) for x, b in want.items()}
+    for form in ({}, {"broadcast_pairs": 1, "batch": 12}):
+        assert {r["id"]: r["betweenness"] for r in A.betweenness(kg, **form).collect()} == pytest.approx(want)
+
+
+def test_betweenness_query_covers_the_graph(spark):
+    got = more.QUERIES["a02_betweenness"](spark, SMALL)
+    assert got.count() == got.select("id").distinct().count() == A.universe(slim_graph(spark, SMALL)).count()
+
+
 def test_enrichment_hand_values(spark):
     q = spark.createDataFrame([("q", "egfr"), ("q", "alk")], "query string, gene string")
     m = spark.createDataFrame([("EGFR Signaling", "egfr"), ("EGFR Signaling", "alk"), ("DNA Repair", "brca1")], "term string, gene string")
