@@ -311,7 +311,7 @@ SELECT id, name, round(combined, 8) AS combined, round(least(1.0, combined + 0.2
 """)
 def a06_target_ranking(spark, d):
     kg = slim_graph(spark, d)
-    t = A.target_ranking(kg, A.degree_centrality(kg), None, A.pagerank(kg, rounds=10))
+    t = A.target_ranking(kg, A.degree_centrality(kg), A.betweenness(kg), A.pagerank(kg, rounds=10))
     return t.withColumns({c: F.round(c, 8) for c in ("combined", "druggability")})
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kgweave.operators import analytics as A
 from kgweave.operators import graph as G
+from kgweave.plans import graph as graph_plans
 from kgweave.plans import more
 from kgweave.plans.testbed import slim_graph
 from kgweave.schema import EDGE_TYPES, NODE_TYPES, checked, edge_type_between
@@ -153,6 +154,14 @@ def test_betweenness_query_covers_the_graph(spark):
     assert got.count() == got.select("id").distinct().count() == A.universe(slim_graph(spark, SMALL)).count()
 
 
+def test_target_ranking_query_counts_betweenness(spark):
+    kg = slim_graph(spark, SMALL)
+    got = {r["id"]: r["combined"] for r in graph_plans.QUERIES["a06_target_ranking"](spark, SMALL).collect()}
+    terms = A.degree_centrality(kg).join(A.betweenness(kg), "id").join(A.pagerank(kg, rounds=10), "id").collect()
+    want = {r["id"]: 0.4 * r["centrality"] + 0.3 * r["betweenness"] + 0.3 * r["rank"] for r in terms if r["id"] in got}
+    assert got == pytest.approx(want, abs=2e-8) and any(r["betweenness"] > 1e-4 for r in terms if r["id"] in got)
+
+
 def test_enrichment_hand_values(spark):
     q = spark.createDataFrame([("q", "egfr"), ("q", "alk")], "query string, gene string")
     m = spark.createDataFrame([("EGFR Signaling", "egfr"), ("EGFR Signaling", "alk"), ("DNA Repair", "brca1")], "term string, gene string")
