@@ -234,6 +234,14 @@ def recent_publications(kg: KnowledgeGraph, *, top: int = 5) -> DataFrame:
     return p.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select(F.col("target_id").alias("gene"), "rank", "pmid", "year")
 
 
+def repurposing_evidence(kg: KnowledgeGraph, candidates: DataFrame) -> DataFrame:
+    """(disease, drug, papers): publications with a PMID that mention the disease and one of the genes of a candidate (disease, drug, genes)."""
+    named = kg.nodes.filter("pmid is not null").select(F.col("id").alias("publication"), "pmid")
+    found = kg.supporting_publications().join(named, "publication").select("disease", "gene", "pmid").distinct()
+    by_gene = candidates.select("disease", "drug", F.explode("genes").alias("gene"))
+    return by_gene.join(found, ["disease", "gene"]).groupBy("disease", "drug").agg(F.count_distinct("pmid").alias("papers"))
+
+
 def repurposing_report(kg: KnowledgeGraph, *, top: int = 10, model: DataFrame | None = None, evidence: DataFrame | None = None) -> DataFrame:
     """Repurposing candidates with a confidence: (disease, drug, confidence, level), the best of each disease.
 

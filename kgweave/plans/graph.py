@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics as A
 from ..operators import graph as G
+from ..operators import learning as L
 from ..operators.runtime import table
 from ..schema import EDGE_BETWEEN, edge_type_between
 from .testbed import DELIVERY, GRAPH, graph, node_records, slim_graph
@@ -239,7 +240,13 @@ SELECT disease, drug, confidence, CASE WHEN confidence >= 0.75 THEN 'high' WHEN
 FROM f QUALIFY row_number() OVER (PARTITION BY disease ORDER BY confidence DESC, drug) <= 10
 """)
 def q09_repurposing_report(spark, d):
-    return G.repurposing_report(slim_graph(spark, d))
+    from .learning import encoded
+
+    kg, _, x = encoded(spark, d, "drug_treats_disease")
+    pairs = kg.repurposing()
+    evidence = G.repurposing_evidence(kg, pairs)
+    model = L.link_scores(pairs.select(F.col("drug").alias("src"), F.col("disease").alias("dst")), x).select(F.col("dst").alias("disease"), F.col("src").alias("drug"), F.col("score").alias("model"))
+    return G.repurposing_report(kg, model=model, evidence=evidence)
 
 
 @query(GRAPH + """, mem AS (SELECT DISTINCT target_id AS term, source_id AS gene FROM edges WHERE edge_type = 'gene_in_pathway')

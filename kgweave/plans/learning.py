@@ -32,8 +32,8 @@ split AS MATERIALIZED (SELECT src, dst, CASE WHEN place <= greatest(1, CAST(floo
 """
 
 
-def _positives(kg):
-    return kg.of_type(RELATION).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+def _positives(kg, relation=RELATION):
+    return kg.of_type(relation).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
 
 
 @query(_pagerank_sql(10) + """, d AS (SELECT id, count(*) AS degree FROM (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges) GROUP BY id)
@@ -88,17 +88,18 @@ def m12_mean_messages(spark, d):
     return L.mean_messages(_degrees(kg), messages).select("id", F.round(F.col("m")[0], 6).alias("mean"))
 
 
-def _encoded(spark, d):
+def encoded(spark, d, relation=RELATION):
+    """The graph, the split of a relation's edges and embeddings that don't see those held out."""
     kg = slim_graph(spark, d)
-    split = L.split_edges(_positives(kg))
-    messages = L.message_graph(kg.edges, split.filter("split <> 'train'"), RELATION)
+    split = L.split_edges(_positives(kg, relation))
+    messages = L.message_graph(kg.edges, split.filter("split <> 'train'"), relation)
     x = L.node_features(kg, A.pagerank(kg, rounds=5))
     return kg, split, L.sage_encode(x, messages, L.sage_weights([14, 16, 16]))
 
 
 @query()
 def m12_sage_embeddings(spark, d):
-    return _encoded(spark, d)[2].select("id", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
+    return encoded(spark, d)[2].select("id", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
 
 
 @query()
@@ -116,7 +117,7 @@ def m13_relational_layer(spark, d):
 @query()
 def m10_novel_links(spark, d):
     """Best unlinked diseases two or three steps from each query gene, by the embeddings."""
-    kg, _, x = _encoded(spark, d)
+    kg, _, x = encoded(spark, d)
     seeds = table(spark, d, "kg_nodes").filter("record_id % 50 = 0 and node_type = 'Gene'").select("id").distinct()
     holes = kg.structural_holes(seeds, target_type="Disease", relation=RELATION).select(F.col("seed").alias("src"), F.col("id").alias("dst"))
     from pyspark.sql import Window as W
@@ -128,7 +129,7 @@ def m10_novel_links(spark, d):
 @query()
 def m15_train_decoder(spark, d):
     """Held-out metrics of a trained link decoder on the embeddings."""
-    kg, split, x = _encoded(spark, d)
+    kg, split, x = encoded(spark, d)
     of = lambda t: kg.nodes.filter(F.col("node_type") == t).select("id")
     neg = L.negatives(_positives(kg), of("Gene"), of("Disease")).withColumn("label", F.lit(0)).withColumn("split", F.when(F.pmod(L.draw(1, "src", "dst"), F.lit(5)) == 0, "test").otherwise("train"))
     samples = split.withColumn("label", F.lit(1)).unionByName(neg.select("src", "dst", "split", "label"))

@@ -162,6 +162,16 @@ def test_target_ranking_query_counts_betweenness(spark):
     assert got == pytest.approx(want, abs=2e-8) and any(r["betweenness"] > 1e-4 for r in terms if r["id"] in got)
 
 
+def test_repurposing_evidence_and_report_query(spark):
+    e = [("g", "d", "gene_associated_with_disease", 1.0), ("h", "d", "gene_associated_with_disease", 1.0), ("x", "g", "drug_targets_gene", 1.0), ("x", "h", "drug_targets_gene", 1.0)]
+    e += [(p, t, k, 1.0) for p in "pqr" for t, k in (("g", "publication_mentions_gene"), ("h", "publication_mentions_gene"), ("d", "publication_mentions_disease"))]
+    kg = kg_of(spark, e)
+    kg = G.KnowledgeGraph(kg.nodes.withColumn("pmid", F.when(F.col("id").isin("p", "q"), F.col("id"))), kg.edges)
+    assert [tuple(r) for r in G.repurposing_evidence(kg, kg.repurposing()).collect()] == [("d", "x", 2)]
+    # Without the model's and the papers' share no confidence can exceed 0.5.
+    assert graph_plans.QUERIES["q09_repurposing_report"](spark, SMALL).agg(F.max("confidence")).first()[0] > 0.5
+
+
 def test_enrichment_hand_values(spark):
     q = spark.createDataFrame([("q", "egfr"), ("q", "alk")], "query string, gene string")
     m = spark.createDataFrame([("EGFR Signaling", "egfr"), ("EGFR Signaling", "alk"), ("DNA Repair", "brca1")], "term string, gene string")
