@@ -137,7 +137,7 @@ SELECT query, r AS rank, id, name, node_type FROM (
 """)
 def l03_node_search(spark, d):
     q = spark.createDataFrame([("gene:x005", None), ("vi", None), ("tigolimide publication", None)], "query string, node_type string")
-    return slim_graph(spark, d).search(q, limit=10)
+    return graph(spark, d).search(q, limit=10)
 
 
 @query(GRAPH + f""", q AS {_tenth_sql('Gene')}

@@ -1,3 +1,4 @@
+import json
 import math
 import random
 from collections import defaultdict, deque
@@ -9,7 +10,7 @@ from kgweave.operators import analytics as A
 from kgweave.operators import graph as G
 from kgweave.plans import graph as graph_plans
 from kgweave.plans import more
-from kgweave.plans.testbed import slim_graph
+from kgweave.plans.testbed import graph, slim_graph
 from kgweave.schema import EDGE_TYPES, NODE_TYPES, checked, edge_type_between
 
 SMALL = "/root/testdata/sf0.001"
@@ -172,6 +173,14 @@ def test_repurposing_evidence_and_report_query(spark):
     assert graph_plans.QUERIES["q09_repurposing_report"](spark, SMALL).agg(F.max("confidence")).first()[0] > 0.5
 
 
+def test_search_query_reads_properties(spark):
+    nodes = [(r["id"], r["name"], " ".join([r["id"], r["name"] or "", json.dumps(r["properties"] or {}, ensure_ascii=False, separators=(",", ":"))]).lower()) for r in graph(spark, SMALL).nodes.collect()]
+    hits = sorted((n is None or n.lower() != "vi", n is None, (n or "").lower(), i) for i, n, hay in nodes if "vi" in hay)
+    got = graph_plans.QUERIES["l03_node_search"](spark, SMALL).filter("query = 'vi'").orderBy("rank").collect()
+    assert [r["id"] for r in got] == [h[-1] for h in hits[:10]]
+    assert any("vi" not in f"{r['id']} {r['name']}".lower() for r in got)
+
+
 def test_enrichment_hand_values(spark):
     q = spark.createDataFrame([("q", "egfr"), ("q", "alk")], "query string, gene string")
     m = spark.createDataFrame([("EGFR Signaling", "egfr"), ("EGFR Signaling", "alk"), ("DNA Repair", "brca1")], "term string, gene string")
