@@ -82,15 +82,30 @@ def components(kg: KnowledgeGraph) -> DataFrame:
     return universe(kg).join(edges.select(F.col("u").alias("id"), F.col("v").alias("m")), "id", "left").select("id", F.coalesce("m", "id").alias("component"))
 
 
-def label_communities(kg: KnowledgeGraph, *, rounds: int = 5) -> DataFrame:
-    """(id, community): deterministic label propagation; each node takes the commonest label around it, of equals the least."""
+def label_communities(kg: KnowledgeGraph) -> DataFrame:
+    """(id, community): deterministic label propagation until nothing changes; each node takes the commonest label around it, of equals the least.
+
+    All nodes move at once as long as each round has fewer that would change than the one before.  From then on, for the nodes that
+    swing, a node moves only if its draw of the round beats those of all neighbours that would move too.  No two neighbours then move together, so
+    every round adds to the edges within communities or keeps them and lowers labels: it ends, however large the graph."""
     pairs = checkpoint(kg.neighbour_pairs())
-    labels = universe(kg).withColumn("label", F.col("id"))
-    for _ in range(rounds):
+    labels = checkpoint(universe(kg).withColumn("label", F.col("id")))
+    before, together, k = None, True, 0
+    while True:
+        k += 1
         votes = pairs.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id", "label").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b")).select("id", F.col("b.label").alias("new"))
-        labels = checkpoint(labels.join(best, "id", "left").select("id", F.coalesce("new", "label").alias("label")))
-    return labels.select("id", F.col("label").alias("community"))
+        moves = checkpoint(labels.join(best, "id").filter("new <> label").select("id", "new"))
+        n = moves.count()
+        if not n:
+            return labels.select("id", F.col("label").alias("community"))
+        together = together and (before is None or n < before)
+        before = n
+        if not together:
+            drawn = moves.select("id", F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id").alias("draw"))
+            beaten = pairs.join(drawn, "id").join(drawn.select(F.col("id").alias("other"), F.col("draw").alias("theirs")), "other").filter("theirs > draw").select("id").distinct()
+            moves = moves.join(beaten, "id", "left_anti")
+        labels = checkpoint(labels.join(moves, "id", "left").select("id", F.coalesce("new", "label").alias("label")))
 
 
 def modularity(kg: KnowledgeGraph, communities: DataFrame) -> DataFrame:

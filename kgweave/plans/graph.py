@@ -324,13 +324,13 @@ def a06_target_ranking(spark, d):
 
 @query()
 def a08_communities(spark, d):
-    return A.label_communities(slim_graph(spark, d), rounds=4)
+    return A.label_communities(slim_graph(spark, d))
 
 
 @query()
 def a09_community_summary(spark, d):
     kg = slim_graph(spark, d)
-    return A.community_summary(kg, A.label_communities(kg, rounds=3))
+    return A.community_summary(kg, A.label_communities(kg))
 
 
 def _enrichment(spark, d):

@@ -1,7 +1,7 @@
 import json
 import math
 import random
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,6 +181,21 @@ def test_search_query_reads_properties(spark):
     assert any("vi" not in f"{r['id']} {r['name']}".lower() for r in got)
 
 
+def test_communities_settle(spark, some):
+    pair = kg_of(spark, [("a", "b", "gene_in_pathway", 1.0)])  # moved at once, the two swing for ever
+    assert len({r["community"] for r in A.label_communities(pair).collect()}) == 1
+    small = graph_plans.QUERIES["a08_communities"](spark, SMALL).collect()
+    e = slim_graph(spark, SMALL).edges.select("source_id", "target_id").collect()
+    for edges, got in ((some[0], A.label_communities(some[1]).collect()), (e, small)):
+        label = {r["id"]: r["community"] for r in got}
+        for v, near in around(edges).items():
+            n = Counter(label[w] for w in near)
+            assert label[v] == min(n, key=lambda x: (-n[x], x))
+    sizes = Counter(r["community"] for r in small)
+    for r in graph_plans.QUERIES["a09_community_summary"](spark, SMALL).collect():
+        assert sizes[r["community"]] == r["size"]
+
+
 def test_enrichment_hand_values(spark):
     q = spark.createDataFrame([("q", "egfr"), ("q", "alk")], "query string, gene string")
     m = spark.createDataFrame([("EGFR Signaling", "egfr"), ("EGFR Signaling", "alk"), ("DNA Repair", "brca1")], "term string, gene string")
