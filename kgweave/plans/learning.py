@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import analytics as A
 from ..operators import learning as L
 from ..operators.runtime import table
-from ..schema import NODE_TYPES
+from ..schema import EDGE_TYPES, NODE_TYPES
 from .graph import _pagerank_sql
 from .testbed import GRAPH, slim_graph
 
@@ -108,9 +108,8 @@ def m13_relational_layer(spark, d):
 
     kg = slim_graph(spark, d)
     r = np.random.default_rng(42)
-    kinds = ["drug_targets_gene", "gene_in_pathway", RELATION]
-    own, rel = r.normal(size=(2, 4)), {k: r.normal(size=(2, 4)) for k in kinds}
-    messages = L.message_graph(kg.of_type(*kinds), _positives(kg).limit(0), RELATION)
+    own, rel = r.normal(size=(2, 4)), {k: r.normal(size=(2, 4)) for k in sorted(EDGE_TYPES)}
+    messages = L.message_graph(kg.edges, _positives(kg).limit(0), RELATION)
     return L.rgcn_layer(_degrees(kg), messages, own, rel).select("id", F.transform("x", lambda v: F.round(v, 4)).alias("x"))
 
 
@@ -143,7 +142,7 @@ def m15_train_decoder(spark, d):
 
 @query()
 def m16_walk_cooccurrence(spark, d):
-    return L.cooccurrence(L.random_walks(slim_graph(spark, d), walks=2, length=6))
+    return L.cooccurrence(L.random_walks(slim_graph(spark, d), walks=12, length=10))
 
 
 _SAMPLES = f"WITH s AS (SELECT DISTINCT edge_id AS sample, CASE WHEN edge_type = '{RELATION}' THEN 1 ELSE 0 END AS label, score FROM kg_edges WHERE score IS NOT NULL AND edge_type IS NOT NULL)"

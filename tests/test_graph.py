@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from kgweave.operators import analytics as A
 from kgweave.operators import graph as G
+from kgweave.operators import learning as L
 from kgweave.plans import graph as graph_plans
+from kgweave.plans import learning as learning_plans
 from kgweave.plans import more
 from kgweave.plans.testbed import graph, slim_graph
 from kgweave.schema import EDGE_TYPES, NODE_TYPES, checked, edge_type_between
@@ -196,6 +198,18 @@ def test_communities_settle(spark, some):
         assert sizes[r["community"]] == r["size"]
 
 
+def test_walks_and_relations_of_the_queries_are_whole(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(L, "cooccurrence", lambda w: w)
+    monkeypatch.setattr(L, "rgcn_layer", lambda x, messages, own, relations: seen.update(messages=messages, relations=relations) or x)
+    w = learning_plans.QUERIES["m16_walk_cooccurrence"](spark, SMALL).agg(F.max("walk"), F.max("pos")).first()
+    assert tuple(w) == (12, 9)
+    learning_plans.QUERIES["m13_relational_layer"](spark, SMALL)
+    edges = slim_graph(spark, SMALL).edges
+    assert seen["messages"].count() == 2 * edges.count()
+    assert {r[0] for r in edges.select("edge_type").distinct().collect()} <= set(seen["relations"])
+
+
 def test_enrichment_hand_values(spark):
     q = spark.createDataFrame([("q", "egfr"), ("q", "alk")], "query string, gene string")
     m = spark.createDataFrame([("EGFR Signaling", "egfr"), ("EGFR Signaling", "alk"), ("DNA Repair", "brca1")], "term string, gene string")
