@@ -52,6 +52,21 @@ def learn_precedence(values: DataFrame) -> DataFrame:
     return net.select("field", F.when(F.col("n") > 0, F.col("x")).otherwise(F.col("y")).alias("earlier"), F.when(F.col("n") > 0, F.col("y")).otherwise(F.col("x")).alias("later"))
 
 
+def comes_after(values: DataFrame, precedence: DataFrame) -> DataFrame:
+    """(field, earlier, later) between any two of ``values`` (field, value), also over other values in between.
+
+    Steps go on, a checkpointed join each, until nothing new is reached.  Values that come after each other, in a cycle, have no order."""
+    front = checkpoint(values.select("field", F.col("value").alias("start"), "value"))
+    reached = front.limit(0)
+    steps = checkpoint(precedence) if front.take(1) else precedence
+    while front.take(1):
+        step = front.join(steps.withColumnRenamed("earlier", "value"), ["field", "value"]).select("field", "start", F.col("later").alias("value")).distinct()
+        front = checkpoint(step.join(reached, ["field", "start", "value"], "left_anti"))
+        reached = checkpoint(reached.unionByName(front))
+    pairs = reached.join(values, ["field", "value"], "left_semi").select("field", F.col("start").alias("earlier"), F.col("value").alias("later"))
+    return pairs.join(pairs.select("field", F.col("later").alias("earlier"), F.col("earlier").alias("later")), ["field", "earlier", "later"], "left_anti")
+
+
 def field_values(records: DataFrame, *, id: str, record: str, name: str, properties: str, rank: Column, at: str) -> DataFrame:
     """One row for each record and field whose value says something: (id, record, rank, at, field, value)."""
     entries = F.concat(
@@ -78,8 +93,8 @@ def best_fields(records: DataFrame, trust: DataFrame, *, id: str = "id", record:
     undated = seen.filter("undated").select("id", "field").distinct()
     in_doubt = seen.join(undated, ["id", "field"], "left_semi")
     open_values = in_doubt.select("id", "field", "value")
-    later = open_values.withColumnRenamed("value", "earlier").join(learn_precedence(seen), ["field", "earlier"])
-    passed = later.join(open_values.withColumnRenamed("value", "later"), ["id", "field", "later"], "left_semi").groupBy("id", "field", F.col("earlier").alias("value")).agg(F.lit(True).alias("passed"))
+    later = comes_after(open_values.select("field", "value").distinct(), learn_precedence(seen))
+    passed = open_values.withColumnRenamed("value", "earlier").join(later, ["field", "earlier"]).join(open_values.withColumnRenamed("value", "later"), ["id", "field", "later"], "left_semi").groupBy("id", "field", F.col("earlier").alias("value")).agg(F.lit(True).alias("passed"))
     in_doubt = in_doubt.join(passed, ["id", "field", "value"], "left").select("id", "field", "value", "first", F.coalesce("passed", F.lit(False)).alias("passed"))
     dated = seen.join(undated, ["id", "field"], "left_anti").select("id", "field", "value", "first", F.lit(False).alias("passed"))
     order = F.struct("first.rank", "passed", "first.late", F.col("first.record").alias("record"), "value")

@@ -32,3 +32,13 @@ def test_missing_times_follow_learned_order(spark):
     got = {r["id"]: r["value"] for r in survivor.best_fields(spark.createDataFrame(rows, NODE), trust).collect()}
     assert got["m"] == "reviewed" or got["m"] == "final"
     assert got["m"] == "final" and got["k"] == "other"
+
+
+def test_order_over_values_in_between_and_cycles(spark):
+    trust = spark.createDataFrame([("s", 1)], TRUST)
+    chains = [("a", "b"), ("b", "c"), ("x", "y"), ("y", "z"), ("z", "x"), ("x", "w")]
+    rows = [(10 * i + j, f"n{i}", v, None, ["s"], t(j + 1), None, None) for i, c in enumerate(chains) for j, v in enumerate(c)]
+    rows += [(100, "m", "a", None, ["s"], None, None, None), (101, "m", "c", None, ["s"], None, None, None)]
+    rows += [(110, "k", "y", None, ["s"], None, None, None), (111, "k", "z", None, ["s"], None, None, None), (112, "k", "w", None, ["s"], None, None, None)]
+    got = {r["id"]: r["value"] for r in survivor.best_fields(spark.createDataFrame(rows, NODE), trust).collect()}
+    assert got["m"] == "c" and got["k"] == "w"
