@@ -18,35 +18,48 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder all executors share and read it from there.
 
     The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset and no
-    folder has been set on the context, as in tests on one machine, a temporary one is made.
+    folder has been set on the context a temporary one is made, and that only in a local session:
+    on a cluster, executors could not read it, so there it is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kgweave-"))
     return df.checkpoint(eager=True)
 
 
-def with_salt(rows: DataFrame, keys: list[str], spread_by: Column, *, salts: int = 32, heavy_rows: int = 100_000, name: str = "_salt") -> tuple[DataFrame, DataFrame]:
-    """Give rows of hot keys one of ``salts`` numbers, all others 0; return them and the hot keys.
+def with_salt(rows: DataFrame, keys: list[str], spread_by: Column, *, salts: int = 32, heavy_rows: int = 100_000, name: str = "_salt") -> tuple[DataFrame, list[int]]:
+    """Give rows of hot keys one of ``salts`` numbers, all others 0; return them and the hashes of the hot keys.
 
     A key is hot when it holds more than ``heavy_rows`` rows and more than a 512th of all.
     So there are fewer than 512 hot keys however large the table: that is why they may be
-    broadcast.  ``spread_by`` is any column that differs among the rows of one key.
+    read to the driver and stand in the plan as constants.  Another key of the same hash is salted as well,
+    on both sides.  ``spread_by`` is any column that differs among the rows of one key.
     """
     counts = checkpoint(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > heavy_rows))
     total = rows.count() if counts.take(1) else 0
-    hot = counts.filter(F.col("_n") > total / 512).select(*keys, F.lit(True).alias("_hot"))
-    salted = rows.join(F.broadcast(hot), keys, "left").withColumn(name, F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
-    return salted, hot
+    hot = sorted({r[0] for r in counts.filter(F.col("_n") > total / 512).select(F.xxhash64(*keys)).collect()})
+    salt = F.when(F.xxhash64(*keys).isin(hot), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0) if hot else F.lit(0)
+    return rows.withColumn(name, salt), hot
 
 
-def replicate(side: DataFrame, keys: list[str], hot: DataFrame, *, salts: int = 32, name: str = "_salt") -> DataFrame:
-    """The other side of a salted join: rows of hot keys once for each salt, all others with salt 0."""
-    marked = side.join(F.broadcast(hot), keys, "left")
-    numbers = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return marked.withColumn(name, F.explode(numbers)).drop("_hot")
+def replicate(side: DataFrame, keys: list[str], hot: list[int], *, salts: int = 32, name: str = "_salt") -> DataFrame:
+    """The other side of a salted join: rows of hot keys once for each salt, all others with salt 0.
+
+    The key columns must have the types they have on the salted side."""
+    if not hot:
+        return side.withColumn(name, F.lit(0))
+    numbers = F.when(F.xxhash64(*keys).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return side.withColumn(name, F.explode(numbers))
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: Column, *, how: str = "inner", heavy_rows: int = 100_000) -> DataFrame:
+    """Join on ``keys`` with the rows of ``left``'s hot keys spread over tasks; ``how`` is a join that keeps or filters the left side."""
+    salted, hot = with_salt(left, keys, spread_by, heavy_rows=heavy_rows)
+    return salted.join(replicate(right, keys, hot), [*keys, "_salt"], how).drop("_salt")
 
 
 def running_totals(rows: DataFrame, order: list[Column], totals: dict[str, str], *, parts: int | None = None) -> DataFrame:

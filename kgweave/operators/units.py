@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -64,20 +65,12 @@ class UnitFinder:
 
     def __init__(self) -> None:
         self.units = {k: (u, e) for k, u, e in unit_table()}
-        try:
-            import ahocorasick
-
-            self.automaton = ahocorasick.Automaton()
-            for k in self.units:
-                self.automaton.add_word(k, k)
-            self.automaton.make_automaton()
-        except ImportError:  # one alternation over all spellings, longest first
-            self.automaton = None
-            self.pattern = re.compile("|".join(re.escape(k) for k in sorted(self.units, key=len, reverse=True)))
+        self.automaton = ahocorasick.Automaton()
+        for k in self.units:
+            self.automaton.add_word(k, k)
+        self.automaton.make_automaton()
 
     def _matches(self, text: str):
-        if self.automaton is None:
-            return [(m.start(), m.end(), m.group()) for m in self.pattern.finditer(text)]
         return [(e + 1 - len(k), e + 1, k) for e, k in self.automaton.iter(text)]
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
@@ -127,6 +120,14 @@ def read_measurement(finder: UnitFinder, kind: str | None, value: float | None,
     return None if number is None or unit is None else (number, *unit)
 
 
+def read_label(finder: UnitFinder, kind: str | None, units: str | None, comment: str | None) -> tuple[float, str | None, int, float, str | None, int]:
+    """What the texts of a record say, whatever its number: (sign, unit, power) if it has one and (number, unit, power) if not.
+
+    The number itself plays no part in reading the texts, so records with equal texts share one reading."""
+    given, missing = read_measurement(finder, kind, 1.0, units, comment), read_measurement(finder, kind, None, units, comment)
+    return *(given or (0.0, None, 0)), *(missing or (0.0, None, 0))
+
+
 def factor_table(spark: SparkSession) -> DataFrame:
     """(unit, power, factor): factors to picomoles per litre, for masses before division by the molar weight."""
     powers = sorted({(u, e) for _, u, e in unit_table()})
@@ -140,20 +141,23 @@ def to_picomolar(rows: DataFrame, weights: DataFrame, *, id: str, kind: str, val
     Values that are null, NaN or not above zero, unknown units and other kinds of
     measurement give no row.  Empty tables give an empty result; further columns are ignored.
     """
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("molecule", T.StringType()), T.StructField("number", T.DoubleType()), T.StructField("unit", T.StringType()), T.StructField("power", T.IntegerType())])
+    fields = [("sign", T.DoubleType()), ("given_unit", T.StringType()), ("given_power", T.IntegerType()), ("told", T.DoubleType()), ("told_unit", T.StringType()), ("told_power", T.IntegerType())]
+    schema = T.StructType([T.StructField("id", rows.schema[id].dataType), T.StructField("molecule", T.StringType()), T.StructField("value", T.DoubleType()), *[T.StructField(n, t) for n, t in fields]])
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = UnitFinder()
         for pdf in parts:
-            got = []
-            for i, k, v, u, c, mol in zip(pdf["id"], pdf["kind"], pdf["value"], pdf["units"], pdf["comment"], pdf["molecule"], strict=True):
-                r = read_measurement(finder, k, v, u, c)
-                if r and r[1] != "other":
-                    got.append((i, mol, *r))
-            yield pd.DataFrame(got, columns=["id", "molecule", "number", "unit", "power"]).astype({"id": "int64", "power": "int32"})
+            # Each distinct combination of texts is searched once a batch; its reading is given to all its rows.
+            at, texts = pd.factorize(pd.MultiIndex.from_frame(pdf[["kind", "units", "comment"]]))
+            told = pd.DataFrame([read_label(finder, *(None if x != x else x for x in t)) for t in texts], columns=[n for n, _ in fields])
+            yield pd.concat([pdf[["id", "molecule", "value"]].reset_index(drop=True), told.take(at).reset_index(drop=True)], axis=1).astype({"given_power": "int32", "told_power": "int32"})
 
     source = rows.filter(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(kind).alias("kind"), F.col(value).cast("double").alias("value"), F.col(units).alias("units"), F.col(comment).alias("comment"), F.col(molecule).alias("molecule"))
-    read_rows = source.mapInPandas(read, schema).join(F.broadcast(factor_table(rows.sparkSession)), ["unit", "power"])
+    has = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
+    number = F.when(has, F.col("value") * F.col("sign")).otherwise(F.col("told"))
+    unit, power = (F.when(has, F.col(f"given_{c}")).otherwise(F.col(f"told_{c}")) for c in ("unit", "power"))
+    measured = source.mapInPandas(read, schema).select("id", "molecule", number.alias("number"), unit.alias("unit"), power.alias("power")).filter("unit is not null and unit <> 'other'")
+    read_rows = measured.join(F.broadcast(factor_table(rows.sparkSession)), ["unit", "power"])
     masses = weights.filter(F.col(weight) > 0).groupBy(F.col(weight_key).alias("molecule")).agg(F.max(weight).alias("weight"))
     plain = read_rows.filter("unit <> 'mass'").withColumn("weight", F.lit(None).cast("double"))
     by_mass = read_rows.filter("unit = 'mass'").join(masses, "molecule").select(*plain.columns)
