@@ -40,3 +40,25 @@ SELECT multi.id, b.value AS name, coalesce(p.properties, '') AS properties, coal
 FROM multi LEFT JOIN best b ON b.id = multi.id AND b.field = 'name' LEFT JOIN p ON p.id = multi.id LEFT JOIN s ON s.id = multi.id
 """
 )
+
+SQL["p6_undated"] = """
+WITH RECURSIVE n AS (SELECT DISTINCT record_id, id, name, properties, sources, CASE WHEN record_id % 3 <> 0 THEN updated_at END AS seen_at FROM kg_nodes WHERE id IS NOT NULL),
+multi AS (SELECT id FROM n GROUP BY id HAVING count(DISTINCT record_id) > 1),
+r AS (SELECT n.*, (SELECT min(trust_rank) FROM source_trust t WHERE list_contains(n.sources, t.source)) AS trust FROM n JOIN multi USING (id)),
+f AS (SELECT id, record_id, trust, seen_at, 'name' AS field, name AS value FROM r
+      UNION ALL SELECT id, record_id, trust, seen_at, 'properties.' || e.key, e.value FROM (SELECT id, record_id, trust, seen_at, unnest(map_entries(properties)) AS e FROM r)),
+seen AS MATERIALIZED (SELECT id, field, value, min({'rank': coalesce(trust, 2147483647), 'late': coalesce(-epoch_us(seen_at), 9223372036854775807), 'record': record_id}) AS first, max(seen_at) AS seen_at, bool_or(seen_at IS NULL) AS undated
+      FROM f WHERE value IS NOT NULL AND lower(trim(value)) NOT IN ('', '-', '--', '?', 'n/a', 'na', 'none', 'null', 'unknown', 'tbd', 'missing', 'not available') GROUP BY ALL),
+steps AS (SELECT field, lag(value) OVER (PARTITION BY id, field ORDER BY seen_at, value) AS earlier, value AS later FROM seen WHERE seen_at IS NOT NULL),
+counts AS (SELECT field, earlier, later, count(*) AS n FROM steps WHERE earlier IS NOT NULL GROUP BY ALL),
+prec AS MATERIALIZED (SELECT a.field, a.earlier, a.later FROM counts a LEFT JOIN counts b ON b.field = a.field AND b.earlier = a.later AND b.later = a.earlier WHERE a.n > coalesce(b.n, 0)),
+leaders AS (SELECT id, field, min(first.rank) AS least, bool_or(undated) AS undated FROM seen GROUP BY ALL),
+opened AS MATERIALIZED (SELECT s.* FROM seen s JOIN leaders l USING (id, field) WHERE l.undated AND s.first.rank = l.least),
+values_open AS MATERIALIZED (SELECT DISTINCT field, value FROM opened),
+reach AS (SELECT p.field, p.earlier AS start, p.later AS value FROM prec p JOIN values_open v ON v.field = p.field AND v.value = p.earlier
+      UNION SELECT reach.field, reach.start, p.later FROM reach JOIN prec p ON p.field = reach.field AND p.earlier = reach.value),
+after AS MATERIALIZED (SELECT a.field, a.start, a.value FROM reach a WHERE NOT EXISTS (SELECT 1 FROM reach b WHERE b.field = a.field AND b.start = a.value AND b.value = a.start)),
+passed AS (SELECT DISTINCT o.id, o.field, o.value FROM opened o JOIN after a ON a.field = o.field AND a.start = o.value JOIN opened q ON q.id = o.id AND q.field = o.field AND q.value = a.value),
+ranked AS (SELECT s.id, s.field, s.value, s.first, p.id IS NOT NULL AS passed FROM seen s LEFT JOIN passed p ON p.id = s.id AND p.field = s.field AND p.value = s.value)
+SELECT id, field, first.record AS record_id, value FROM ranked QUALIFY row_number() OVER (PARTITION BY id, field ORDER BY first.rank, passed, first.late, first.record, value) = 1
+"""

@@ -42,3 +42,19 @@ def test_order_over_values_in_between_and_cycles(spark):
     rows += [(110, "k", "y", None, ["s"], None, None, None), (111, "k", "z", None, ["s"], None, None, None), (112, "k", "w", None, ["s"], None, None, None)]
     got = {r["id"]: r["value"] for r in survivor.best_fields(spark.createDataFrame(rows, NODE), trust).collect()}
     assert got["m"] == "c" and got["k"] == "w"
+
+
+def test_undated_pair_of_a_chain(spark):
+    trust = spark.createDataFrame([("s", 1)], TRUST)
+    rows = [(10 * i + j, f"n{i}", v, None, ["s"], t(j + 1), None, None) for i in range(4) for j, v in enumerate(("draft", "reviewed", "final"))]
+    rows += [(100, "m", "draft", None, ["s"], None, None, None), (101, "m", "final", None, ["s"], None, None, None)]
+    got = {r["id"]: r["value"] for r in survivor.best_fields(spark.createDataFrame(rows, NODE), trust).collect()}
+    assert got["m"] == "final"
+
+
+def test_more_sources_than_the_plan_holds(spark):
+    trust = spark.createDataFrame([(f"s{i}", i + 1) for i in range(10_001)], TRUST)
+    rows = [(1, "a", "X", None, ["s10000", "none", "s3"], t(1), None, None), (2, "a", "Y", None, ["s4"], t(2), None, None), (3, "b", "U", None, None, t(1), None, None), (4, "b", "V", None, ["s10000"], t(1), None, None), (5, "c", "P", None, ["s3"], t(1), None, None), (6, "c", "Q", None, [], t(2), None, None)]
+    df = spark.createDataFrame(rows, NODE)
+    few = {(r["id"], r["value"]) for r in survivor.best_fields(df, trust.filter("source in ('s10000', 's3', 's4')")).collect()}
+    assert {(r["id"], r["value"]) for r in survivor.best_fields(df, trust).collect()} == few == {("a", "X"), ("b", "V"), ("c", "P")}
