@@ -1,9 +1,9 @@
 """Matching entities across sources without keys (problem 2).
 
 Evidence on a pair (equal or nearly equal names, codes, symbols, agreeing attributes) adds up
-to log-odds.  Loopy belief propagation over the candidate pairs then enforces that a record
-belongs to one entity: pairs and one-to-one factors exchange messages through joins until
-they change no more, and each pair's marginal is its confidence.
+to log-odds.  Loopy belief propagation over the candidate pairs then weighs how many partners a
+record has: pairs and the factors of both sides exchange messages through joins until they
+change no more, and each pair's marginal is its confidence.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.runtime import checkpoint
+from ..operators.runtime import checkpoint, salted_join
 
 # Fixed values.
 _ACCENTS = ("áàâäãåāéèêëēíìîïīóòôöõøōúùûüūýÿñçš", "aaaaaaaeeeeeiiiiiooooooouuuuuyyncs")
@@ -22,6 +22,11 @@ MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 ROMANS = {"vii": 7, "vi": 6, "iv": 4, "v": 5, "iii": 3, "ii": 2, "i": 1}
 # Log-odds of the evidence; PRIOR holds for any candidate pair.
 PRIOR, SAME, ALIAS, NEAR, AGREE, DISAGREE, STEM = -2.0, 5.0, 4.0, 3.0, 2.0, -2.5, -4.0
+NEAR_SHORT = 1.0
+#: Weight of each further partner of a molecule or gene, which may have several, and of a product or protein, which has one.
+FURTHER_A, FURTHER_B = 0.5, 0.0
+#: Keys of at least LONG characters may differ by two slips, shorter ones, of at least SHORT, by one.
+SHORT, LONG = 4, 9
 
 
 def plain(text: Column) -> Column:
@@ -64,57 +69,96 @@ def gene_name_key(text: Column) -> Column:
 
 
 def shortened(key: Column) -> Column:
-    """Hashes of all strings got by taking up to two characters out.
+    """The string itself and all strings got by taking one character out.
 
-    Two strings that differ by two slips, each an insertion, deletion, substitution or exchange of
-    neighbours, share one of them; so near pairs are found by equality, without comparing all pairs."""
+    Two strings that differ by one slip, an insertion, deletion, substitution or exchange of neighbours, share one of them."""
     n = F.length(key)
-    cut = lambda i, j: F.xxhash64(F.concat(F.substring(key, F.lit(1), i - 1), F.substring(key, i + 1, j - i - 1), F.substring(key, j + 1, n)))
-    one = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.concat(F.substring(key, F.lit(1), i - 1), F.substring(key, i + 1, n))))
-    two = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.when(i < n, F.transform(F.sequence(i + 1, n), lambda j: cut(i, j))).otherwise(F.array().cast("array<bigint>"))))
-    return F.array_distinct(F.concat(F.array(F.xxhash64(key)), one, two))
+    one = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substring(key, F.lit(1), i - 1), F.substring(key, i + 1, n)))
+    return F.array_distinct(F.concat(F.array(key), one))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, *, least: int = 9) -> DataFrame:
-    """(a, b, ka, kb) whose keys (a, key) and (b, key) differ by one or two slips and have the same digits; keys shorter than ``least`` aren't compared."""
-    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
-    sides = [s.filter(F.length("key") >= least).select("key").distinct().select(F.col("key").alias(n), digits(F.col("key")).alias("digits"), F.explode(shortened(F.col("key"))).alias("h")) for s, n in ((left, "ka"), (right, "kb"))]
-    # Spark sizes the exploded sides by what they come from and would broadcast them: merge them instead.
-    keys = sides[0].join(sides[1].hint("merge"), ["h", "digits"]).select("ka", "kb").distinct().filter(F.levenshtein("ka", "kb") <= 4)
-    same = lambda a, b: F.levenshtein(F.array_join(F.array_sort(F.split(a, "")), ""), F.array_join(F.array_sort(F.split(b, "")), ""))
-    d, s = F.levenshtein("ka", "kb"), same("ka", "kb")
-    keys = keys.filter((d <= 2) | ((d == 3) & (s <= 2)) | (s == 0))
-    return keys.hint("merge").join(left.select("a", F.col("key").alias("ka")), "ka").hint("merge").join(right.select("b", F.col("key").alias("kb")), "kb").select("a", "b", "ka", "kb").distinct()
+def _tagged(tag: str, strings: Column) -> Column:
+    return F.transform(strings, lambda s: F.xxhash64(F.concat(F.lit(tag), s)))
 
 
-def believe(pairs: DataFrame, *, one_a: float = 1.0, one_b: float = 0.0, rounds: int = 30, damping: float = 0.5, tolerance: float = 1e-3) -> DataFrame:
+def _probes(key: Column, *, sizes: range) -> Column:
+    """Hashes by which near keys meet.
+
+    Of two slips at most one lies within one of the two halves of a long key (an exchange across the middle is one slip
+    in each half), so the halves, shortened by one, are compared; where the other key's middle is isn't known, so its
+    halves are taken at each of ``sizes`` around its own middle.  Short keys are compared whole.  So the number of probes
+    grows with the length, not with its square."""
+    n = F.length(key)
+    half = F.floor(n / 2).cast("int")
+    front = [shortened(F.substring(key, F.lit(1), half + i)) for i in sizes]
+    back = [shortened(F.substring(key, half + 1 - i, n)) for i in sizes]
+    long = F.when(n >= LONG, F.concat(_tagged("<", F.array_distinct(F.flatten(F.array(*front)))), _tagged(">", F.array_distinct(F.flatten(F.array(*back))))))
+    whole = F.when(n <= LONG, _tagged("=", shortened(key)))
+    none = F.array().cast("array<bigint>")
+    return F.array_distinct(F.concat(F.coalesce(long, none), F.coalesce(whole, none)))
+
+
+def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, ka, kb) whose keys (a, key) and (b, key) aren't equal, differ by two slips or fewer, by one if either is shorter than LONG, and have
+    the same digits.  Keys shorter than SHORT have no near ones."""
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    sides = [
+        s.filter(F.length("key") >= SHORT).select("key").distinct().repartition(parts, "key").select(F.col("key").alias(n), digits(F.col("key")).alias("digits"), F.explode(_probes(F.col("key"), sizes=sizes)).alias("h"))
+        for s, n, sizes in ((left, "ka", range(1)), (right, "kb", range(-2, 3)))
+    ]
+    # Spark sizes the exploded sides by what they come from and would broadcast them: merge them instead.
+    met = sides[0].join(sides[1].hint("merge"), ["h", "digits"]).filter((F.col("ka") != F.col("kb")) & (F.abs(F.length("ka") - F.length("kb")) <= 2)).select("ka", "kb").distinct()
+    letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    # The bounded distance is cheap and rules out nearly all; only what is left has its letters sorted.
+    d = F.levenshtein("ka", "kb", 4)
+    same = lambda: letters(F.col("ka")) == letters(F.col("kb"))
+    long = F.when(d < 0, False).when(d <= 2, True).when(d == 3, F.levenshtein(letters(F.col("ka")), letters(F.col("kb"))) <= 2).otherwise(same())
+    short = F.when((d == 0) | (d == 1), True).when(d == 2, same()).otherwise(False)
+    keys = met.filter(F.when(F.least(F.length("ka"), F.length("kb")) >= LONG, long).otherwise(short))
+    ends = salted_join(left.select("a", F.col("key").alias("ka")), keys, ["ka"], F.col("a"))
+    return salted_join(ends, right.select("b", F.col("key").alias("kb")), ["kb"], F.col("a")).select("a", "b", "ka", "kb").distinct()
+
+
+def _partners(rest: Column, spread: Column, further: float) -> Column:
+    """Log-odds a factor tells a pair, from what its other pairs say.
+
+    The factor weighs a record with k partners ``further`` ** max(0, k - 1).  With q the odds of each other pair,
+    ``rest`` is the sum of q and ``spread`` that of log(1 + further q): over all subsets of the others the pair's
+    own presence gives prod(1 + further q), its absence 1 + (prod(1 + further q) - 1) / further."""
+    if further == 1.0:
+        return F.lit(0.0)
+    if further == 0.0:
+        return -F.log1p(F.greatest(F.lit(0.0), rest))
+    g = F.least(F.lit(300.0), F.greatest(F.lit(0.0), spread))
+    return g - F.log1p(F.expm1(g) / further)
+
+
+def believe(pairs: DataFrame, *, further_a: float = FURTHER_A, further_b: float = FURTHER_B, rounds: int = 1000, damping: float = 0.5, tolerance: float = 1e-3) -> DataFrame:
     """Marginal probability of each candidate pair: (a, b, confidence).
 
     ``pairs``: (a, b, theta) with each pair once and its log-odds.  A factor on each a, and one on each b, weighs
-    that another of its pairs holds too: 0 forbids it, 1 doesn't mind.  A pair tells a factor its odds from
+    each partner after the first: 0 forbids it, 1 doesn't mind.  A pair tells a factor its odds from
     all else, and a factor answers with what the other pairs leave; rounds end when no message moves by more
-    than ``tolerance``.  An empty table gives an empty result.
+    than ``tolerance``.  Exact where the pairs form no cycle.  Messages of a graph that hasn't settled after
+    ``rounds`` are an error, not a result.  An empty table gives an empty result.
     """
     state = checkpoint(pairs.select("a", "b", "theta", F.lit(0.0).alias("ma"), F.lit(0.0).alias("mb")))
     clip = lambda c: F.greatest(F.lit(-30.0), F.least(F.lit(30.0), c))
+    change = None
     for _ in range(rounds):
         told = state.withColumn("qa", F.exp(clip(F.col("theta") + F.col("mb")))).withColumn("qb", F.exp(clip(F.col("theta") + F.col("ma"))))
         j = told
-        for side, w in (("a", one_a), ("b", one_b)):
-            if w == 1.0:
-                j = j.withColumn(f"n{side}", F.lit(0.0))
-                continue
-            sums = told.groupBy(side).agg(F.sum(f"q{side}").alias(f"s{side}"))
-            rest = F.greatest(F.lit(0.0), F.col(f"s{side}") - F.col(f"q{side}"))
-            j = j.join(sums, side).withColumn(f"n{side}", F.log1p(rest * w) - F.log1p(rest))
+        for side, w in (("a", further_a), ("b", further_b)):
+            sums = told.groupBy(side).agg(F.sum(f"q{side}").alias(f"s{side}"), F.sum(F.log1p(F.col(f"q{side}") * w)).alias(f"l{side}"))
+            j = j.join(sums, side).withColumn(f"n{side}", _partners(F.col(f"s{side}") - F.col(f"q{side}"), F.col(f"l{side}") - F.log1p(F.col(f"q{side}") * w), w))
         moved = F.greatest(F.abs(F.col("na") - F.col("ma")), F.abs(F.col("nb") - F.col("mb")))
-        j = j.select("a", "b", "theta", *[(F.col(m) * damping + F.col(n) * (1 - damping)).alias(m) for m, n in (("ma", "na"), ("mb", "nb"))], moved.alias("moved"))
-        done = checkpoint(j)
+        done = checkpoint(j.select("a", "b", "theta", *[(F.col(m) * damping + F.col(n) * (1 - damping)).alias(m) for m, n in (("ma", "na"), ("mb", "nb"))], moved.alias("moved")))
         change = done.agg(F.max("moved")).first()[0]
         state = done.drop("moved")
         if change is None or change <= tolerance:
-            break
-    return state.select("a", "b", (1 / (1 + F.exp(-(F.col("theta") + F.col("ma") + F.col("mb"))))).alias("confidence"))
+            return state.select("a", "b", (1 / (1 + F.exp(-(F.col("theta") + F.col("ma") + F.col("mb"))))).alias("confidence"))
+    raise RuntimeError(f"messages still move by {change} after {rounds} rounds")
 
 
 def _evidence(parts: list[DataFrame]) -> DataFrame:
@@ -126,7 +170,11 @@ def _evidence(parts: list[DataFrame]) -> DataFrame:
 
 
 def _pairs(left: DataFrame, right: DataFrame, kind: str, weight: float) -> DataFrame:
-    return left.join(right, "key").select("a", "b").distinct().select("a", "b", F.lit(kind).alias("kind"), F.lit(weight).alias("weight"))
+    return salted_join(left, right, ["key"], F.col("a")).select("a", "b").distinct().select("a", "b", F.lit(kind).alias("kind"), F.lit(weight).alias("weight"))
+
+
+def _nearness() -> Column:
+    return F.when(F.least(F.length("ka"), F.length("kb")) >= LONG, NEAR).otherwise(NEAR_SHORT)
 
 
 def _attribute(candidates: DataFrame, left: DataFrame, right: DataFrame, kind: str, agree: float, differ: float) -> DataFrame:
@@ -146,15 +194,14 @@ def match_drugs(drugs: DataFrame, products: DataFrame) -> DataFrame:
     left = checkpoint(names.select("a", substance(F.col("n")).alias("key")).dropna().distinct())
     right = checkpoint(products.select(F.col("drug_id").alias("b"), substance(F.col("drug_name")).alias("key")).dropna().distinct())
     exact = checkpoint(_pairs(left, right, "name", SAME))
-    unsettled = right.join(exact.select("b"), "b", "left_anti")
     stem = lambda c: F.regexp_extract(c, f"({STEMS})$", 1)
     other = (stem(F.col("ka")) != "") & (stem(F.col("kb")) != "") & (stem(F.col("ka")) != stem(F.col("kb")))
-    near = near_pairs(left, unsettled).select("a", "b", F.lit("name").alias("kind"), F.when(other, NEAR + STEM).otherwise(NEAR).alias("weight"))
+    near = near_pairs(left, right).select("a", "b", F.lit("name").alias("kind"), (_nearness() + F.when(other, STEM).otherwise(0.0)).alias("weight"))
     named = checkpoint(exact.unionByName(near))
     pairs = named.select("a", "b").distinct()
     mech = _attribute(pairs, drugs.select(F.col("chembl_id").alias("a"), mechanism_key(F.col("mechanism")).alias("value")), products.select(F.col("drug_id").alias("b"), mechanism_key(F.col("mechanism")).alias("value")), "mechanism", AGREE, DISAGREE)
     phase = _attribute(pairs, drugs.select(F.col("chembl_id").alias("a"), F.col("max_phase").alias("value")), products.select(F.col("drug_id").alias("b"), F.col("phase").alias("value")), "phase", 0.5, -0.5)
-    return believe(_evidence([named, mech, phase]), one_a=1.0, one_b=0.0)
+    return believe(_evidence([named, mech, phase]))
 
 
 def match_genes(genes: DataFrame, proteins: DataFrame) -> DataFrame:
@@ -169,6 +216,5 @@ def match_genes(genes: DataFrame, proteins: DataFrame) -> DataFrame:
     name_l = genes.select(F.col("ensembl_id").alias("a"), F.explode(F.array("name", F.regexp_replace("description", "; formerly .*$", ""))).alias("n")).select("a", gene_name_key(F.col("n")).alias("key")).dropna().distinct()
     name_r = human.select(F.col("accession").alias("b"), gene_name_key(F.col("protein_name")).alias("key")).dropna().distinct()
     exact = checkpoint(_pairs(sym_l, sym_r, "symbol", SAME).unionByName(_pairs(old_l, sym_r, "symbol", ALIAS)).unionByName(_pairs(name_l, name_r, "name", SAME)))
-    unsettled = name_r.join(exact.select("b"), "b", "left_anti")
-    near = near_pairs(name_l, unsettled).select("a", "b", F.lit("name").alias("kind"), F.lit(NEAR).alias("weight"))
-    return believe(_evidence([exact, near]), one_a=1.0, one_b=0.0)
+    near = near_pairs(name_l, name_r).select("a", "b", F.lit("name").alias("kind"), _nearness().alias("weight"))
+    return believe(_evidence([exact, near]))

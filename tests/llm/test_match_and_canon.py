@@ -1,20 +1,82 @@
+import itertools
 import math
+import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from kgweave.llm import canon, match
 
 
-def test_belief_is_exact_on_a_tree(spark):
-    """One right record, two candidates: the marginals of 'at most one' can be counted."""
-    pairs = spark.createDataFrame([("a1", "b", 1.0), ("a2", "b", 0.5), ("a3", "c", -1.0)], "a string, b string, theta double")
-    got = {(r["a"], r["b"]): r["confidence"] for r in match.believe(pairs, tolerance=1e-9).collect()}
-    z = 1 + math.e + math.exp(0.5)
-    assert math.isclose(got[("a1", "b")], math.e / z, abs_tol=1e-6) and math.isclose(got[("a2", "b")], math.exp(0.5) / z, abs_tol=1e-6)
-    assert math.isclose(got[("a3", "c")], 1 / (1 + math.e), abs_tol=1e-6)
-    both = {(r["a"], r["b"]): r["confidence"] for r in match.believe(pairs.filter("b = 'b'"), one_a=0.0, tolerance=1e-9).collect()}
-    assert both[("a1", "b")] > both[("a2", "b")]
-    assert match.believe(pairs.limit(0)).count() == 0
+def marginals(pairs, further_a, further_b):
+    """By counting all sets of pairs."""
+    total, each = 0.0, dict.fromkeys([(a, b) for a, b, _ in pairs], 0.0)
+    for chosen in itertools.product((0, 1), repeat=len(pairs)):
+        taken = [p for p, c in zip(pairs, chosen, strict=True) if c]
+        weight = math.exp(sum(t for _, _, t in taken))
+        for side, w in ((0, further_a), (1, further_b)):
+            for n in Counter(p[side] for p in taken).values():
+                weight *= w ** (n - 1)
+        total += weight
+        for a, b, _ in taken:
+            each[(a, b)] += weight
+    return {k: v / total for k, v in each.items()}
+
+
+def beliefs(spark, pairs, **how):
+    df = spark.createDataFrame(pairs, "a string, b string, theta double")
+    return {(r["a"], r["b"]): r["confidence"] for r in match.believe(df, tolerance=1e-6, **how).collect()}
+
+
+@pytest.mark.parametrize("further", [(0.5, 0.0), (0.0, 0.0), (1.0, 0.0), (0.3, 0.7)])
+def test_belief_is_exact_on_a_tree(spark, further):
+    pairs = [("a1", "b", 1.0), ("a2", "b", 0.5), ("a2", "c", -1.0), ("a2", "d", 2.0), ("a3", "d", 0.2), ("a4", "e", -0.5)]
+    want = marginals(pairs, *further)
+    got = beliefs(spark, pairs, further_a=further[0], further_b=further[1])
+    assert all(math.isclose(got[k], want[k], abs_tol=1e-4) for k in want)
+
+
+def test_belief_on_a_cycle_sees_both_sides(spark):
+    """Two records a side, all four pairs: a1 and a2 both look most like b1, but a2 has nothing else."""
+    pairs = [("a1", "b1", 2.0), ("a1", "b2", 1.6), ("a2", "b1", 2.0), ("a2", "b2", -2.0)]
+    want, got = marginals(pairs, 0.0, 0.0), beliefs(spark, pairs, further_a=0.0, further_b=0.0)
+    assert all(math.isclose(got[k], want[k], abs_tol=0.1) for k in want)
+    assert got[("a1", "b2")] > 0.5 > got[("a1", "b1")] and got[("a2", "b1")] > 0.5  # b1's own softmax can't tell a1 from a2
+    alone = math.exp(2.0) / (1 + 2 * math.exp(2.0))
+    assert got[("a2", "b1")] > alone + 0.1
+    want, got = marginals(pairs, 0.5, 0.0), beliefs(spark, pairs)
+    assert all(math.isclose(got[k], want[k], abs_tol=0.05) for k in want) and match.believe(spark.createDataFrame(pairs, "a string, b string, theta double").limit(0)).count() == 0
+
+
+def test_near_pairs_at_every_length(spark):
+    """All keys within the slips allowed, none else: against comparing everything with everything."""
+    r = random.Random(3)
+    left = ["".join(r.choices("abcd", k=n)) for n in (3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 40) for _ in range(3)] + ["abcdefgh", "abcdefghi"]
+
+    def slip(s):
+        i, c = r.randrange(len(s)), r.choice("abcd")
+        return r.choice([s[:i] + s[i + 1 :], s[:i] + c + s[i:], s[:i] + c + s[i + 1 :], s[: i - 1] + s[i] + s[i - 1] + s[i + 1 :] if i else s])
+
+    right = [slip(slip(s)) for s in left for _ in range(3)] + [slip(s) for s in left for _ in range(2)] + ["abcdefgx", "abcdefghx"]
+
+    def slips(a, b):  # restricted Damerau distance
+        d = {(i, j): i or j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    near = match.near_pairs(spark.createDataFrame([(s, s) for s in set(left)], "a string, key string"), spark.createDataFrame([(s, s) for s in set(right)], "b string, key string"))
+    got = {(x["ka"], x["kb"]) for x in near.collect()}
+    for a in set(left):
+        for b in set(right):
+            least = min(len(a), len(b))
+            if a != b and least >= match.SHORT and slips(a, b) <= (2 if least >= match.LONG else 1):
+                assert (a, b) in got
+    assert ("abcdefgh", "abcdefgx") in got and ("abcdefghi", "abcdefghx") in got and all(min(map(len, p)) >= match.SHORT for p in got)
 
 
 D = "chembl_id string, name string, synonyms array<string>, mechanism string, max_phase int, key string"
