@@ -52,12 +52,15 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "clinical_intake")
-    drugs = t.select("request_id", F.lit("drugs").alias("field"), F.posexplode("drugs").alias("pos", "value"), F.lit("drug").alias("kind"))
-    rest = [t.select("request_id", F.lit(f).alias("field"), F.lit(0).alias("pos"), F.col(f).alias("value"), F.lit(k).alias("kind")) for f, k in (("input_term", "phenotype"), ("condition", "disease"))]
-    rows = drugs.unionByName(rest[0]).unionByName(rest[1]).filter(F.col("value").isNotNull() & ~F.col("value").rlike(r"^(?U)\s*$")).distinct()
+    table(spark, d, "clinical_intake").createOrReplaceTempView("p4_intake")
+    rows = spark.sql(r"""
+        SELECT DISTINCT * FROM (
+          SELECT request_id, 'drugs' AS field, pos, value, 'drug' AS kind FROM p4_intake LATERAL VIEW posexplode(drugs) x AS pos, value
+          UNION ALL SELECT request_id, 'input_term', 0, input_term, 'phenotype' FROM p4_intake
+          UNION ALL SELECT request_id, 'condition', 0, `condition`, 'disease' FROM p4_intake)
+        WHERE value IS NOT NULL AND NOT value RLIKE '^(?U)\\s*$'""")
     mapped = canon.map_terms(spark, rows, table(spark, d, "vocab_terms"))
-    return canon.resolve(rows, mapped).select("request_id", "field", "pos", "term_id")
+    return canon.resolve(spark, rows, mapped).select("request_id", "field", "pos", "term_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

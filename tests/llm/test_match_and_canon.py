@@ -127,7 +127,23 @@ def test_terms(spark):
     assert {(r["kind"], r["value"]): r["term_id"] for r in out} == {(k, v): t for k, v, t in CASES}
     assert len(out) == len(CASES)
     rows = typed.filter("kind = 'drug'").withColumn("n", F.lit(1))
-    joined = canon.resolve(rows.filter("trim(value) <> ''"), canon.map_terms(spark, typed, ref))
+    joined = canon.resolve(spark, rows.filter("trim(value) <> ''"), canon.map_terms(spark, typed, ref))
     assert joined.filter("term_id = ''").count() > 0
     assert canon.map_terms(spark, typed.limit(0), ref).count() == 0
     assert canon.map_terms(spark, typed, ref.limit(0)).filter("term_id is not null").count() == 0
+    other = canon.map_terms(spark, typed, ref, broadcast_rows=0).collect()
+    assert {(r["kind"], r["value"]): r["term_id"] for r in other} == {(k, v): t for k, v, t in CASES}
+
+
+def test_every_pair_of_two_exchanges_is_found(spark):
+    name, cases = "idiopathic pedal fibroma", []
+    for i in range(0, 22, 3):
+        for j in range(i + 2, 23, 3):
+            t = list(name.replace(" ", ""))
+            for k in (i, j):
+                if k + 1 < len(t):
+                    t[k], t[k + 1] = t[k + 1], t[k]
+            cases.append(("disease", "".join(t)))
+    ref = spark.createDataFrame([("M1", "disease", name, None)], "term_id string, kind string, name string, synonyms array<string>")
+    out = canon.map_terms(spark, spark.createDataFrame(cases, "kind string, value string"), ref).collect()
+    assert {r["term_id"] for r in out} == {"M1"}
