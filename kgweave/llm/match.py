@@ -9,6 +9,7 @@ change no more, and each pair's marginal is its confidence.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.runtime import checkpoint, salted_join
@@ -25,8 +26,8 @@ PRIOR, SAME, ALIAS, NEAR, AGREE, DISAGREE, STEM = -2.0, 5.0, 4.0, 3.0, 2.0, -2.5
 NEAR_SHORT = 1.0
 #: Weight of each further partner of a molecule or gene, which may have several, and of a product or protein, which has one.
 FURTHER_A, FURTHER_B = 0.5, 0.0
-#: Keys of at least LONG characters may differ by two slips, shorter ones, of at least SHORT, by one.
-SHORT, LONG = 4, 9
+#: Keys of at least LONG characters may differ by two slips, shorter ones, of at least SHORT, by one; from SEGMENTED on they are cut.
+SHORT, LONG, SEGMENTED = 4, 9, 15
 
 
 def plain(text: Column) -> Column:
@@ -77,43 +78,52 @@ def shortened(key: Column) -> Column:
     return F.array_distinct(F.concat(F.array(key), one))
 
 
-def _tagged(tag: str, strings: Column) -> Column:
-    return F.transform(strings, lambda s: F.xxhash64(F.concat(F.lit(tag), s)))
+def _twice(key: Column) -> Column:
+    """All strings got by taking up to two characters out."""
+    return F.array_distinct(F.flatten(F.transform(shortened(key), shortened)))
 
 
-def _probes(key: Column, *, sizes: range) -> Column:
-    """Hashes by which near keys meet.
+def _met_by_segments(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(ka, kb) of long keys that share a segment at nearly the same place.
 
-    Of two slips at most one lies within one of the two halves of a long key (an exchange across the middle is one slip
-    in each half), so the halves, shortened by one, are compared; where the other key's middle is isn't known, so its
-    halves are taken at each of ``sizes`` around its own middle.  Short keys are compared whole.  So the number of probes
-    grows with the length, not with its square."""
-    n = F.length(key)
-    half = F.floor(n / 2).cast("int")
-    front = [shortened(F.substring(key, F.lit(1), half + i)) for i in sizes]
-    back = [shortened(F.substring(key, half + 1 - i, n)) for i in sizes]
-    long = F.when(n >= LONG, F.concat(_tagged("<", F.array_distinct(F.flatten(F.array(*front)))), _tagged(">", F.array_distinct(F.flatten(F.array(*back))))))
-    whole = F.when(n <= LONG, _tagged("=", shortened(key)))
-    none = F.array().cast("array<bigint>")
-    return F.array_distinct(F.concat(F.coalesce(long, none), F.coalesce(whole, none)))
+    A left key is cut into segments of three characters.  Each slip spoils one of them at most, an exchange across a cut two, so the
+    cuts are made at three places, one of which no exchange crosses.  Of the segments of each cutting any three hold an unspoilt one:
+    those that fewest right keys have are looked up among all runs of three characters of the right keys."""
+    runs = lambda key, start, step: F.transform(F.sequence(start, F.length(key) - 2, F.lit(step)), lambda i: F.struct(i.alias("at"), F.substring(key, i, F.lit(3)).alias("run")))
+    probes = checkpoint(right.select("kb", "digits", F.explode(runs(F.col("kb"), F.lit(1), 1)).alias("r")).select("kb", "digits", "r.at", "r.run"))
+    often = probes.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    cut = left.select("ka", "digits", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("cut"))
+    cut = cut.select("ka", "digits", "cut", F.explode(runs(F.col("ka"), F.col("cut"), 3)).alias("r")).select("ka", "digits", "cut", "r.at", "r.run").join(often, "run", "left")
+    rank = F.row_number().over(W.partitionBy("ka", "cut").orderBy(F.coalesce("n", F.lit(0)), "at"))
+    rare = cut.withColumn("rank", rank).filter("rank <= 3 and n is not null").select("ka", "digits", "run", F.col("at").alias("a")).distinct()
+    met = salted_join(probes, rare, ["run", "digits"], F.col("kb"))
+    return met.filter(F.abs(F.col("at") - F.col("a")) <= 2).select("ka", "kb")
 
 
 def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b, ka, kb) whose keys (a, key) and (b, key) aren't equal, differ by two slips or fewer, by one if either is shorter than LONG, and have
-    the same digits.  Keys shorter than SHORT have no near ones."""
-    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    the same digits.  Keys shorter than SHORT have no near ones.
+
+    Keys meet in three ways by length: short ones by what is left without one character, middling ones without two, ones of SEGMENTED
+    characters or more, of which the former would be ever more, by their rarest segments."""
     parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    sides = [
-        s.filter(F.length("key") >= SHORT).select("key").distinct().repartition(parts, "key").select(F.col("key").alias(n), digits(F.col("key")).alias("digits"), F.explode(_probes(F.col("key"), sizes=sizes)).alias("h"))
-        for s, n, sizes in ((left, "ka", range(1)), (right, "kb", range(-2, 3)))
-    ]
-    # Spark sizes the exploded sides by what they come from and would broadcast them: merge them instead.
-    met = sides[0].join(sides[1].hint("merge"), ["h", "digits"]).filter((F.col("ka") != F.col("kb")) & (F.abs(F.length("ka") - F.length("kb")) <= 2)).select("ka", "kb").distinct()
+    n = lambda c: F.length(c)
+    la, rb = (checkpoint(s.filter(n("key") >= SHORT).select("key").distinct().repartition(parts, "key").select(F.col("key").alias(k), F.regexp_replace("key", "[^0-9]", "").alias("digits"))) for s, k in ((left, "ka"), (right, "kb")))
+    met = None
+    for only, also, strings in ((n("ka") <= LONG, n("kb") <= LONG, shortened), (n("ka").between(LONG, SEGMENTED - 1), n("kb").between(LONG, SEGMENTED + 1), _twice)):
+        # Spark sizes the exploded sides by what they come from and would broadcast them: merge them instead.
+        sides = [df.filter(keep).select(k, "digits", F.explode(F.transform(strings(F.col(k)), lambda x: F.xxhash64(x))).alias("h")) for df, keep, k in ((la, only, "ka"), (rb, also, "kb"))]
+        part = sides[0].join(sides[1].hint("merge"), ["h", "digits"]).select("ka", "kb")
+        met = part if met is None else met.unionByName(part)
+    met = met.unionByName(_met_by_segments(la.filter(n("ka") >= SEGMENTED), rb.filter(n("kb") >= SEGMENTED - 2)))
+    met = met.filter((F.col("ka") != F.col("kb")) & (F.abs(n("ka") - n("kb")) <= 2)).distinct()
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     # The bounded distance is cheap and rules out nearly all; only what is left has its letters sorted.
     d = F.levenshtein("ka", "kb", 4)
     same = lambda: letters(F.col("ka")) == letters(F.col("kb"))
-    long = F.when(d < 0, False).when(d <= 2, True).when(d == 3, F.levenshtein(letters(F.col("ka")), letters(F.col("kb"))) <= 2).otherwise(same())
+    # Of a distance above two, exchanges are a part: then the keys have a string of two characters fewer in common.
+    exchanged = F.when(d == 3, F.levenshtein(letters(F.col("ka")), letters(F.col("kb"))) <= 2).otherwise(same())
+    long = F.when(d < 0, False).when(d <= 2, True).when(exchanged, F.arrays_overlap(_twice(F.col("ka")), _twice(F.col("kb")))).otherwise(False)
     short = F.when((d == 0) | (d == 1), True).when(d == 2, same()).otherwise(False)
     keys = met.filter(F.when(F.least(F.length("ka"), F.length("kb")) >= LONG, long).otherwise(short))
     ends = salted_join(left.select("a", F.col("key").alias("ka")), keys, ["ka"], F.col("a"))
