@@ -125,7 +125,7 @@ def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     exchanged = F.when(d == 3, F.levenshtein(letters(F.col("ka")), letters(F.col("kb"))) <= 2).otherwise(same())
     long = F.when(d < 0, False).when(d <= 2, True).when(exchanged, F.arrays_overlap(_twice(F.col("ka")), _twice(F.col("kb")))).otherwise(False)
     short = F.when((d == 0) | (d == 1), True).when(d == 2, same()).otherwise(False)
-    keys = met.filter(F.when(F.least(F.length("ka"), F.length("kb")) >= LONG, long).otherwise(short))
+    keys = checkpoint(met.filter(F.when(F.least(F.length("ka"), F.length("kb")) >= LONG, long).otherwise(short)))
     ends = salted_join(left.select("a", F.col("key").alias("ka")), keys, ["ka"], F.col("a"))
     return salted_join(ends, right.select("b", F.col("key").alias("kb")), ["kb"], F.col("a")).select("a", "b", "ka", "kb").distinct()
 
