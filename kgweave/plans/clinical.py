@@ -157,11 +157,3 @@ def s10_first_molecules(spark, d):
 def l10_mentions(spark, d):
     names = table(spark, d, "vocab_terms").select(F.col("term_id").alias("id"), "name", "kind").distinct()
     return C.mentions(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"), names)
-
-
-@query()
-def o07_verify_claims(spark, d):
-    kg = slim_graph(spark, d)
-    names = kg.nodes.select("id", "name", F.col("node_type").alias("kind"))
-    claims = table(spark, d, "hypotheses").select(F.col("hypothesis_id").alias("doc"), F.posexplode(X.sentences(F.col("statement"))).alias("pos", "claim")).distinct()
-    return C.verify_claims(kg, claims, names)

@@ -10,7 +10,7 @@ from ..operators import graph as G
 from ..operators import learning as L
 from ..operators.runtime import table
 from ..schema import EDGE_BETWEEN, edge_type_between
-from .testbed import DELIVERY, GRAPH, graph, node_records, slim_graph
+from .testbed import DELIVERY, GRAPH, HAY, graph, node_records, slim_graph
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -130,10 +130,10 @@ def l02_edge_filter(spark, d):
     return table(spark, d, "kg_edges").filter("edge_type = 'drug_targets_gene' and score >= 0.9").select("edge_id", "source_id", "target_id", "score").distinct()
 
 
-@query(GRAPH + """, q AS (SELECT * FROM (VALUES ('gene:x005'), ('vi'), ('tigolimide publication')) t(query))
+@query(GRAPH + HAY + """, q AS (SELECT * FROM (VALUES ('gene:x005'), ('vi'), ('tigolimide publication')) t(query))
 SELECT query, r AS rank, id, name, node_type FROM (
   SELECT q.query, n.id, n.name, n.node_type, row_number() OVER (PARTITION BY q.query ORDER BY (lower(n.name) <> q.query) NULLS LAST, lower(n.name) NULLS LAST, n.id) AS r
-  FROM nodes n, q WHERE contains(lower(concat_ws(' ', n.id, n.name)), q.query)) WHERE r <= 10
+  FROM hay n, q WHERE contains(n.hay, q.query)) WHERE r <= 10
 """)
 def l03_node_search(spark, d):
     q = spark.createDataFrame([("gene:x005", None), ("vi", None), ("tigolimide publication", None)], "query string, node_type string")

@@ -210,26 +210,6 @@ def r20_bibliography(spark, d):
     return a.select("article_id", line.alias("line"))
 
 
-@query()
-def r09_hybrid_retrieve(spark, d):
-    """Titles as questions: lexical and fused ranking, reranked, five documents each."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text", "source", F.try_element_at("metadata", F.lit("title")).alias("title"))
-    q = table(spark, d, "pubmed_articles").filter("article_id % 50 = 0 and title is not null").select(F.col("article_id").alias("query"), F.col("title").alias("text"))
-    lexical = R.bm25(docs.select("doc", "text"), q, top=15)
-    titles = R.bm25(docs.select("doc", F.col("title").alias("text")), q, top=15)
-    hits = R.fuse(lexical, titles).join(docs, "doc").join(q.withColumnRenamed("text", "query_text"), "query").withColumn("context", F.lit(""))
-    return R.rerank(hits, top=5).withColumn("score", F.round("score", 6))
-
-
-@query()
-def r24_extractive_answers(spark, d):
-    """Up to three first sentences of the best documents for each title."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
-    q = table(spark, d, "pubmed_articles").filter("article_id % 50 = 0 and title is not null").select(F.col("article_id").alias("query"), F.col("title").alias("text"))
-    best = R.bm25(docs, q, top=3).join(docs, "doc").select("query", F.struct("rank", X.first_sentence(F.col("text")).alias("s")).alias("x"))
-    return best.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat(F.lit("- "), x["s"])), "\n").alias("answer"))
-
-
 @query(GRAPH + "SELECT DISTINCT source_id AS src, target_id AS dst FROM edges WHERE edge_type = 'drug_treats_disease'")
 def m03_positives(spark, d):
     return slim_graph(spark, d).of_type("drug_treats_disease").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).distinct()

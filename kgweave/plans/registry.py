@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import clinical, graph, learning, more, retrieval
+from . import clinical, context, graph, learning, more, retrieval
 
-MODULES = (graph, retrieval, learning, clinical, more)
+MODULES = (graph, retrieval, learning, clinical, more, context)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -113,11 +113,6 @@ def r12_rerank(spark, d):
     return R.rerank(hits, top=5).withColumn("score", F.round("score", 6))
 
 
-@query()
-def r13_entity_candidates(spark, d):
-    return R.entity_candidates(table(spark, d, "pubmed_articles").filter("title is not null").select(F.col("article_id").alias("query"), F.col("title").alias("text")))
-
-
 @query("""
 WITH r AS (SELECT article_id, authors, year FROM pubmed_articles),
 k AS (SELECT article_id, coalesce(CASE WHEN len(authors) > 0 THEN nullif(trim(split_part(trim(authors[1]), ' ', 1), ','), '') END, 'Unknown') || CASE WHEN len(authors) > 1 THEN ' et al., ' ELSE ', ' END || coalesce(CAST(year AS VARCHAR), 'n.d.') AS key FROM r),

@@ -49,3 +49,10 @@ edges AS MATERIALIZED (SELECT source_id, target_id, coalesce(lower(edge_type), '
 universe AS MATERIALIZED (SELECT id FROM nodes UNION SELECT source_id FROM edges UNION SELECT target_id FROM edges),
 und AS MATERIALIZED (SELECT DISTINCT least(source_id, target_id) AS u, greatest(source_id, target_id) AS v, edge_type FROM edges)
 """
+
+#: Nodes with what a text search looks into, properties written as Spark writes them.
+HAY = """, rp AS (SELECT DISTINCT id, properties, updated_at, record_id FROM r), pe AS (SELECT id, updated_at, record_id, unnest(map_entries(properties)) AS e FROM rp),
+pv AS (SELECT id, e.key AS k, e.value AS v FROM pe QUALIFY row_number() OVER (PARTITION BY id, e.key ORDER BY updated_at DESC, record_id DESC) = 1),
+pj AS (SELECT id, '{' || string_agg('"' || k || '":' || coalesce('"' || replace(replace(v, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"', 'null'), ',' ORDER BY k) || '}' AS props FROM pv GROUP BY id),
+hay AS MATERIALIZED (SELECT n.*, lower(concat_ws(' ', n.id, n.name, j.props)) AS hay FROM nodes n LEFT JOIN pj j ON j.id = n.id)
+"""
