@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import KnowledgeGraph
-from .runtime import checkpoint, running_totals
+from .runtime import checkpoint, running_totals, salted_join
 
 
 def universe(kg: KnowledgeGraph) -> DataFrame:
@@ -28,6 +28,47 @@ def degree_centrality(kg: KnowledgeGraph) -> DataFrame:
     return full.select("id", d.alias("degree"), F.when(F.col("n") > 1, d / (F.col("n") - 1)).otherwise(1.0).alias("centrality"))
 
 
+def druggability(kg: KnowledgeGraph, genes: DataFrame, ranking: DataFrame) -> DataFrame:
+    """(gene, id, druggability) of genes asked for (gene) by id, else by name, any case; of equal names the first id."""
+    return resolve_genes(kg, genes).join(ranking.select("id", "druggability"), "id").select("gene", "id", "druggability")
+
+
+def resolve_genes(kg: KnowledgeGraph, genes: DataFrame) -> DataFrame:
+    """(gene, id): the gene node of each string asked for, by id, else by name, any case; of equal names the first id.  Unknown ones have no row."""
+    n = kg.nodes.filter("node_type = 'Gene'")
+    key = lambda c: F.lower(F.trim(c))
+    known = n.select("id", F.lit(0).alias("how"), key("id").alias("k")).unionByName(n.filter("name is not null").select("id", F.lit(1).alias("how"), key("name").alias("k")))
+    best = known.groupBy("k").agg(F.min(F.struct("how", "id")).alias("b"))
+    return genes.select("gene").distinct().withColumn("k", key("gene")).join(best, "k").select("gene", "b.id")
+
+
+def background_genes(kg: KnowledgeGraph, genes: DataFrame | None = None) -> DataFrame:
+    """(gene): the background asked for (gene) as ids; all genes if none is given or none of it is known."""
+    every = kg.nodes.filter("node_type = 'Gene'").select(F.col("id").alias("gene"))
+    if genes is None:
+        return every
+    known = resolve_genes(kg, genes).select(F.col("id").alias("gene")).distinct()
+    return known if known.take(1) else every
+
+
+def largest_communities(communities: DataFrame, *, top: int = 10) -> DataFrame:
+    """(number, community, size, members) of the largest communities, numbered from 1, of equal ones the first by name; members sorted."""
+    size = communities.groupBy("community").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "community").limit(top)
+    numbered = size.withColumn("number", F.row_number().over(W.orderBy(F.desc("size"), "community")))
+    members = communities.join(F.broadcast(numbered), "community")
+    return members.groupBy("number", "community", "size").agg(F.array_sort(F.collect_list("id")).alias("members"))
+
+
+def similar_nodes(kg: KnowledgeGraph, vectors: DataFrame, queries: DataFrame, *, top: int = 10) -> DataFrame:
+    """(id, rank, other, score): the most alike of each query node (id) by vectors (id, vector), or by shared successors where there are none."""
+    from .retrieval import dense
+
+    if not vectors.take(1):
+        return neighbour_jaccard(kg, queries, top=top)
+    q = vectors.join(queries.select("id").distinct(), "id", "left_semi").withColumnRenamed("id", "query")
+    return dense(vectors.withColumnRenamed("id", "doc"), q, top=top, exclude_self=True).select(F.col("query").alias("id"), "rank", F.col("doc").alias("other"), "score")
+
+
 def directed_degree(kg: KnowledgeGraph) -> DataFrame:
     """(id, degree): outgoing and incoming edges, nothing collapsed."""
     ends = kg.edges.select(F.explode(F.array("source_id", "target_id")).alias("id"))
@@ -37,8 +78,8 @@ def directed_degree(kg: KnowledgeGraph) -> DataFrame:
 def pagerank(kg: KnowledgeGraph, *, alpha: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6, max_rounds: int = 100) -> DataFrame:
     """(id, rank): PageRank of the directed multigraph, parallel edges adding up, dangling mass spread evenly.
 
-    ``rounds`` fixes the number of iterations; otherwise they end when the ranks move by less than tolerance times
-    the number of nodes in all.  Ranks are cut from their lineage at every fifth round."""
+    ``rounds`` fixes the number of iterations; otherwise they end when the ranks move, in all, by less than tolerance times
+    the number of nodes, which is looked at, and the lineage cut, at every fifth round; not to get there in ``max_rounds`` is an error."""
     nodes = checkpoint(universe(kg))
     n = nodes.count()
     if not n:
@@ -53,11 +94,13 @@ def pagerank(kg: KnowledgeGraph, *, alpha: float = 0.85, rounds: int | None = No
         came = ranks.join(moves, "id").groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("came"))
         new = ranks.withColumnRenamed("rank", "old").join(came, "id", "left").join(F.broadcast(lost))
         new = new.select("id", "dangling", "old", (alpha * (F.coalesce("came", F.lit(0.0)) + F.col("lost") / n) + (1 - alpha) / n).alias("rank"))
-        if rounds is None or k % 5 == 0:
+        if k % 5 == 0:
             new = checkpoint(new)
         ranks = new.select("id", "dangling", "rank")
-        if rounds is None and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance * n:
-            break
+        if rounds is None and k % 5 == 0 and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance * n:
+            return ranks.select("id", "rank")
+    if rounds is None:
+        raise RuntimeError(f"ranks still move after {max_rounds} rounds")
     return ranks.select("id", "rank")
 
 
@@ -67,6 +110,8 @@ def components(kg: KnowledgeGraph) -> DataFrame:
     The stars halve the depth of each tree at every round, so long chains end in a logarithm of their length;
     no component's edges are ever gathered in one task, for each step only aggregates by id."""
     edges = checkpoint(kg.neighbour_pairs().filter("id > other").select(F.col("id").alias("u"), F.col("other").alias("v")))
+    prints = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))]
+    seen = edges.agg(*prints).first()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -75,9 +120,10 @@ def components(kg: KnowledgeGraph) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         small = checkpoint(small)
-        changed = small.exceptAll(edges).take(1) or edges.exceptAll(small).take(1)
+        # Both are sets of pairs: the same number and the same two sums of hashes tell that nothing has changed.
+        seen, before = small.agg(*prints).first(), seen
         edges = small
-        if not changed:
+        if seen == before:
             break
     return universe(kg).join(edges.select(F.col("u").alias("id"), F.col("v").alias("m")), "id", "left").select("id", F.coalesce("m", "id").alias("component"))
 
@@ -129,12 +175,12 @@ def community_summary(kg: KnowledgeGraph, communities: DataFrame, *, top: int =
     return counts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).drop("r")
 
 
-def target_ranking(kg: KnowledgeGraph, centrality: DataFrame, betweenness: DataFrame | None, ranks: DataFrame) -> DataFrame:
+def target_ranking(kg: KnowledgeGraph, centrality: DataFrame, betweenness: DataFrame, ranks: DataFrame) -> DataFrame:
     """Genes by 0.4 degree centrality + 0.3 betweenness + 0.3 PageRank, and how druggable they are."""
     genes = kg.nodes.filter("node_type = 'Gene'").select("id", "name")
     count = lambda t, end, to: kg.of_type(t).groupBy(F.col(end).alias("id")).agg(F.count(F.lit(1)).alias(to))
     g = genes.join(centrality.select("id", "centrality"), "id", "left").join(ranks, "id", "left")
-    g = g.join(betweenness, "id", "left") if betweenness is not None else g.withColumn("betweenness", F.lit(0.0))
+    g = g.join(betweenness, "id", "left")
     for t, end, to in (("drug_targets_gene", "target_id", "drugs"), ("gene_in_pathway", "source_id", "pathways"), ("gene_associated_with_disease", "source_id", "diseases")):
         g = g.join(count(t, end, to), "id", "left")
     z = lambda c: F.coalesce(c, F.lit(0))
@@ -251,7 +297,7 @@ def neighbour_jaccard(kg: KnowledgeGraph, queries: DataFrame, *, top: int = 10)
     succ = kg.edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("t")).distinct()
     size = succ.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     q = succ.join(queries.select("id").distinct(), "id", "left_semi")
-    both = q.join(succ.withColumnRenamed("id", "other"), "t").filter("id <> other").groupBy("id", "other").agg(F.count(F.lit(1)).alias("i"))
+    both = salted_join(succ.withColumnRenamed("id", "other"), q, ["t"], F.col("other")).filter("id <> other").groupBy("id", "other").agg(F.count(F.lit(1)).alias("i"))
     scored = both.join(size, "id").join(size.withColumnsRenamed({"id": "other", "n": "m"}), "other").withColumn("score", F.col("i") / (F.col("n") + F.col("m") - F.col("i")))
     order = W.partitionBy("id").orderBy(F.desc("score"), "other")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("id", "rank", "other", "score")

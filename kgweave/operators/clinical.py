@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .containment import contains_pairs
 from .graph import KnowledgeGraph
+from .runtime import checkpoint, salted_join
 
 
 def normalise_names(names: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -43,21 +45,25 @@ def interactions(records: DataFrame, wanted: DataFrame | None = None, reactions:
 
 
 def contraindications(labels: DataFrame, conditions: DataFrame) -> DataFrame:
-    """(label, condition): labels (label, text) whose text holds the condition, any case.  Conditions must be few: they go to every task."""
-    c = conditions.select("condition", F.lower("condition").alias("c")).distinct()
-    return labels.select("label", F.lower("text").alias("t")).join(F.broadcast(c), F.col("t").contains(F.col("c"))).select("label", "condition").distinct()
+    """(label, condition): labels (label, text) whose text holds the condition, any case."""
+    c = conditions.select("condition", F.lower("condition").alias("needle")).distinct()
+    t = labels.select(F.col("label").alias("key"), F.lower("text").alias("text"))
+    return contains_pairs(t, c.select("needle")).join(c, "needle").select(F.col("key").alias("label"), "condition").distinct()
 
 
 def search_terms(queries: DataFrame, terms: DataFrame, *, top: int = 10) -> DataFrame:
     """Vocabulary search: (query, rank, term_id, score).
 
-    2 for an equal name, 1 for a name that holds the query, 1 for a synonym that holds the query or stands in it.  The
-    vocabulary goes to every task, so it must be a fixed one."""
+    2 for an equal name, 1 for a name that holds the query, 1 for a synonym that holds the query or stands in it."""
     t = terms.select("term_id", F.lower("name").alias("n"), F.transform(F.coalesce("synonyms", F.array().cast("array<string>")), lambda s: F.lower(s)).alias("s"))
     q = queries.select("query", F.lower(X.strip(F.col("query"))).alias("q")).distinct().filter("q <> ''")
-    syn = F.exists("s", lambda s: s.contains(F.col("q")) | F.col("q").contains(s))
-    score = F.when(F.col("q") == F.col("n"), 2.0).otherwise(0.0) + F.when(F.col("n").contains(F.col("q")), 1.0).otherwise(0.0) + F.when(syn, 1.0).otherwise(0.0)
-    hits = q.join(F.broadcast(t), F.col("n").contains(F.col("q")) | syn).withColumn("score", score)
+    names, syn = t.select("term_id", F.col("n").alias("x")), t.select("term_id", F.explode("s").alias("x")).distinct()
+    asked = q.select(F.col("q").alias("needle"))
+    in_name = contains_pairs(names.select(F.col("term_id").alias("key"), F.col("x").alias("text")), asked).withColumnRenamed("key", "term_id").join(names, "term_id").select(F.col("needle").alias("q"), "term_id", F.when(F.col("needle") == F.col("x"), 3.0).otherwise(1.0).alias("a"), F.lit(0.0).alias("b"))
+    held = contains_pairs(syn.select("x").distinct().select(F.col("x").alias("key"), F.col("x").alias("text")), asked).select(F.col("needle").alias("q"), F.col("key").alias("x"))
+    holds = contains_pairs(q.select("q").distinct().select(F.col("q").alias("key"), F.col("q").alias("text")), syn.select(F.col("x").alias("needle"))).select(F.col("key").alias("q"), F.col("needle").alias("x"))
+    in_syn = held.unionByName(holds).distinct().join(syn, "x").select("q", "term_id", F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
+    hits = in_name.unionByName(in_syn).groupBy("q", "term_id").agg((F.max("a") + F.max("b")).alias("score")).join(q, "q")
     order = W.partitionBy("query").orderBy(F.desc("score"), "term_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query", "rank", "term_id", "score")
 
@@ -103,7 +109,7 @@ def set_similarity(a: Column, b: Column) -> Column:
     return F.when((F.coalesce(F.size(a), F.lit(0)) > 0) & (F.coalesce(F.size(b), F.lit(0)) > 0), F.size(F.array_intersect(a, b)) / n).otherwise(0.0)
 
 
-def mentions(texts: DataFrame, names: DataFrame, *, limit: int = 5, max_words: int = 8) -> DataFrame:
+def mentions(texts: DataFrame, names: DataFrame, *, limit: int = 5) -> DataFrame:
     """Names that stand in a text as whole words, case and white space aside: (doc, rank, id, at).
 
     ``texts``: (doc, text); ``names``: (id, name, kind).  Every run of words of a text that begins where some name begins
@@ -111,25 +117,12 @@ def mentions(texts: DataFrame, names: DataFrame, *, limit: int = 5, max_words: i
     publications last, longer names first, id; each id once."""
     words = r"[\p{L}\p{N}_]+"
     split = lambda c: F.regexp_extract_all(F.lower(c), F.lit(words), F.lit(0))
-    n = names.filter("name is not null").select("id", "name", "kind", split(F.col("name")).alias("w")).filter((F.size("w") > 0) & (F.size("w") <= max_words))
+    n = names.filter("name is not null").select("id", "name", "kind", split(F.col("name")).alias("w")).filter(F.size("w") > 0)
     n = n.select("id", "kind", F.length("name").alias("len"), F.col("w")[0].alias("first"), F.array_join("w", " ").alias("key"), F.size("w").alias("size"))
     sizes = n.groupBy("first").agg(F.collect_set("size").alias("sizes"))
     at = texts.select("doc", split(F.col("text")).alias("w")).select("doc", "w", F.posexplode("w").alias("at", "first")).join(sizes, "first")
     runs = at.select("doc", "at", F.explode("sizes").alias("size"), "w").select("doc", "at", F.array_join(F.slice("w", F.col("at") + 1, F.col("size")), " ").alias("key"), "size")
-    hits = runs.join(n.select("id", "kind", "len", "key", "size"), ["key", "size"])
+    hits = salted_join(runs, n.select("id", "kind", "len", "key", "size"), ["key", "size"], F.col("doc"))
     one = hits.groupBy("doc", "id", "kind", "len").agg(F.min("at").alias("at"))
     order = W.partitionBy("doc").orderBy("at", F.when(F.col("kind") == "Publication", 1).otherwise(0), F.desc("len"), "id")
     return one.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("doc", "rank", "id", "at")
-
-
-def verify_claims(kg: KnowledgeGraph, claims: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc, pos, supported) of sentences (doc, pos, claim).
-
-    With two entities or more a claim is supported by an edge between the first two, either way; with fewer it must carry a
-    citation in square brackets."""
-    c = claims.withColumn("key", F.concat_ws("#", F.col("doc").cast("string"), F.col("pos").cast("string")))
-    m = mentions(c.select(F.col("key").alias("doc"), F.col("claim").alias("text")), names, limit=2)
-    pair = m.groupBy(F.col("doc").alias("key")).agg(F.min("id").alias("u"), F.max("id").alias("v"), F.count(F.lit(1)).alias("n")).filter("n = 2")
-    linked = pair.join(kg.undirected().select("u", "v").distinct().withColumn("linked", F.lit(True)), ["u", "v"], "left").select("key", F.coalesce("linked", F.lit(False)).alias("linked"))
-    out = c.join(linked, "key", "left")
-    return out.select("doc", "pos", F.coalesce("linked", F.col("claim").rlike(r"\[[^\]]+\]")).alias("supported"))

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import DEFAULT_EDGE_TYPE
-from .runtime import checkpoint, running_totals
+from .containment import contains_pairs
+from .runtime import checkpoint, running_totals, salted_join
 
 EDGE_KEY = ["source_id", "target_id", "edge_type"]
 
@@ -123,11 +124,11 @@ class KnowledgeGraph:
     def search(self, queries: DataFrame, *, limit: int = 10) -> DataFrame:
         """Nodes whose id, name or properties hold the query as a substring: (query, rank, id, name, node_type).
 
-        Queries (query, node_type or null) are lower-cased and stripped.  Exact names come first, then by name, then id.
-        The comparison is a containment join, so queries must be few."""
-        q = queries.select("query", F.lower(F.regexp_replace("query", r"^\s+|\s+$", "")).alias("q"), F.col("node_type").alias("want"))
-        n = self.nodes.withColumn("hay", F.lower(F.concat_ws(" ", "id", "name", F.to_json("properties"))))
-        hit = n.join(F.broadcast(q), F.col("hay").contains(F.col("q")) & (F.col("want").isNull() | (F.col("want") == F.col("node_type"))))
+        Queries (query, node_type or null) are lower-cased and stripped.  Exact names come first, then by name, then id."""
+        q = queries.select("query", F.lower(F.regexp_replace("query", r"^\s+|\s+$", "")).alias("q"), F.col("node_type").alias("want")).distinct()
+        n = self.nodes.withColumn("text", F.lower(F.concat_ws(" ", "id", "name", F.to_json("properties"))))
+        met = contains_pairs(n.select(F.col("id").alias("key"), "text"), q.select(F.col("q").alias("needle"))).select(F.col("key").alias("id"), F.col("needle").alias("q"))
+        hit = met.join(self.nodes, "id").join(q, "q").filter(F.col("want").isNull() | (F.col("want") == F.col("node_type")))
         order = W.partitionBy("query", "want").orderBy((F.lower("name") != F.col("q")).asc_nulls_last(), F.lower("name").asc_nulls_last(), "id")
         return hit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query", "rank", "id", "name", "node_type")
 
@@ -143,7 +144,7 @@ class KnowledgeGraph:
         gd = self.of_type("gene_associated_with_disease").select(F.col("source_id").alias("gene"), F.col("target_id").alias("disease"), F.col("score").alias("s1"))
         dg = self.of_type("drug_targets_gene").select(F.col("target_id").alias("gene"), F.col("source_id").alias("drug"), F.col("score").alias("s2"))
         known = self.of_type("drug_treats_disease").select(F.col("source_id").alias("drug"), F.col("target_id").alias("disease"))
-        sums = gd.join(dg, "gene").groupBy("disease", "drug").agg(F.sum(F.col("s1") * F.col("s2")).alias("score"), F.array_sort(F.collect_set("gene")).alias("genes"))
+        sums = salted_join(gd, dg, ["gene"], F.col("disease")).groupBy("disease", "drug").agg(F.sum(F.col("s1") * F.col("s2")).alias("score"), F.array_sort(F.collect_set("gene")).alias("genes"))
         return sums.join(known, ["disease", "drug"], "left_anti").filter(F.col("score") >= min_score)
 
     def hops(self, seeds: DataFrame, *, radius: int) -> DataFrame:
@@ -154,7 +155,7 @@ class KnowledgeGraph:
         seen = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("level"))
         frontier = seen
         for level in range(1, radius + 1):
-            step = frontier.join(pairs, "id").select("seed", F.col("other").alias("id")).distinct()
+            step = salted_join(pairs, frontier, ["id"], F.col("other")).select("seed", F.col("other").alias("id")).distinct()
             frontier = checkpoint(step.join(seen, ["seed", "id"], "left_anti").withColumn("level", F.lit(level)))
             seen = seen.unionByName(frontier)
             if not frontier.take(1):
@@ -223,8 +224,8 @@ def local_index(nodes: DataFrame) -> DataFrame:
 
 
 def numbered(ids: DataFrame, name: str) -> DataFrame:
-    """Query ids numbered in their order, for few of them: (n, name)."""
-    return ids.select(F.row_number().over(W.orderBy("id")).alias("n"), F.col("id").alias(name))
+    """Ids numbered from 1 in their order: (n, name)."""
+    return running_totals(ids.select("id", F.lit(1).alias("one")), [F.col("id")], {"n": "one"}).select("n", F.col("id").alias(name))
 
 
 def recent_publications(kg: KnowledgeGraph, *, top: int = 5) -> DataFrame:

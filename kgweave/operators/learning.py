@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import NODE_TYPES
+from ..schema import NODE_TYPES, edge_type_between
 from .analytics import directed_degree
 from .graph import KnowledgeGraph, local_index
 from .runtime import checkpoint, running_totals
@@ -36,43 +36,104 @@ def draw(seed: int, *cols: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *cols)), 1, 13), 16, 10).cast("long")
 
 
-def split_edges(positives: DataFrame, *, val: float = 0.1, test: float = 0.1, seed: int = 42) -> DataFrame:
-    """Positives (src, dst) with a split: the edges in a drawn order, the first part val, the next test, the rest train.
+def drawn_places(rows: DataFrame, by: Column, ties: list[str]) -> DataFrame:
+    """``rows`` with their place from 1 in the order of a drawn number ``by`` (below 2**52), then of ``ties``.
+
+    Places are counted within 1024 ranges of the number, so no task sorts all rows."""
+    ranges = checkpoint(rows.withColumn("_d", by).withColumn("_g", F.shiftright("_d", 42)))
+    sizes = ranges.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    start = sizes.select("_g", F.coalesce(F.sum("_n").over(W.orderBy("_g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    place = F.row_number().over(W.partitionBy("_g").orderBy("_d", *ties)) + F.col("_start")
+    return ranges.join(F.broadcast(start), "_g").withColumn("place", place).drop("_d", "_g", "_start")
+
 
-    Parts are int(total * ratio), at least one each from three edges on, less if train would be empty.  The order is
-    found by rank within 1024 ranges of the drawn number, so no task sorts all edges."""
-    p = checkpoint(positives.select("src", "dst").distinct().withColumn("r", draw(seed, "src", "dst")))
-    total = p.count()
+def split_sizes(total: int, val: float, test: float) -> tuple[int, int]:
+    """Numbers of edges for val and test: int(total * ratio), at least one each from three edges on, less if train would be empty."""
     n_val, n_test = int(total * val), int(total * test)
     if total >= 3:
         n_val, n_test = max(1, n_val), max(1, n_test)
     while total and total - n_val - n_test < 1:
         n_val, n_test = (n_val, n_test - 1) if n_test else (n_val - 1, n_test)
-    ranges = p.withColumn("g", F.shiftright("r", 42))
-    sizes = ranges.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    start = sizes.select("g", F.coalesce(F.sum("n").over(W.orderBy("g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    at = F.row_number().over(W.partitionBy("g").orderBy("r", "src", "dst")) + F.col("start")
-    part = F.when(F.col("at") <= n_val, "val").when(F.col("at") <= n_val + n_test, "test").otherwise("train")
-    return ranges.join(start, "g").withColumn("at", at).select("src", "dst", part.alias("split"))
+    return n_val, n_test
+
+
+def split_edges(positives: DataFrame, *, val: float = 0.1, test: float = 0.1, seed: int = 42) -> DataFrame:
+    """Positives (src, dst) with a split: the edges in a drawn order, the first part val, the next test, the rest train."""
+    p = checkpoint(positives.select("src", "dst").distinct())
+    n_val, n_test = split_sizes(p.count(), val, test)
+    part = F.when(F.col("place") <= n_val, "val").when(F.col("place") <= n_val + n_test, "test").otherwise("train")
+    return drawn_places(p, draw(seed, "src", "dst"), ["src", "dst"]).select("src", "dst", part.alias("split"))
 
 
 def negatives(positives: DataFrame, sources: DataFrame, targets: DataFrame, *, ratio: float = 1.0, seed: int = 42) -> DataFrame:
-    """Typed pairs that aren't positive: (src, dst), about ``ratio`` for each positive.
+    """Typed pairs that aren't positive: (src, dst, place), max(1, ceil(ratio * positives)) of them, or all there are if those are fewer.
 
-    Each try of a positive edge draws a source and a target by number, several tries at once, so no pair of all
-    sources and targets is ever formed; tries that hit a positive or repeat are dropped."""
+    Each round every positive edge draws a source and a target by number, several tries at once, so no pair of all sources and
+    targets is ever formed; tries that hit a positive or repeat are dropped and rounds go on until there are enough.  Where
+    the wanted number is more than half of all pairs, these are counted through instead.  ``place`` numbers them in a drawn order."""
     per = int(np.ceil(ratio * 2))
     number = lambda df, n: local_index(df.select("id", F.lit("any").alias("node_type"))).select(F.col("id").alias(n), F.col("i").alias("k"))
-    s, t = checkpoint(number(sources, "src")), checkpoint(number(targets, "dst"))
+    s, t = checkpoint(number(sources.distinct(), "src")), checkpoint(number(targets.distinct(), "dst"))
     ns, nt = s.count(), t.count()
-    if not ns or not nt:
-        return positives.select("src", "dst").limit(0)
-    p = positives.select("src", "dst").distinct()
-    tries = p.select(F.concat_ws(">", "src", "dst").alias("e"), F.explode(F.sequence(F.lit(1), F.lit(per))).alias("i")).withColumn("i", F.col("i").cast("string"))
-    tries = tries.select("e", "i", F.pmod(draw(seed, "e", "i"), F.lit(ns)).alias("a"), F.pmod(draw(seed + 1, "e", "i"), F.lit(nt)).alias("b"))
-    pairs = tries.join(s.withColumnRenamed("k", "a"), "a").join(t.withColumnRenamed("k", "b"), "b").select("src", "dst").distinct().join(p, ["src", "dst"], "left_anti")
+    p = checkpoint(positives.select("src", "dst").distinct())
     want = max(1, int(np.ceil(p.count() * ratio)))
-    return pairs.orderBy(draw(seed + 2, "src", "dst"), "src", "dst").limit(want)
+    named = lambda df: df.join(s.withColumnRenamed("k", "a"), "a").join(t.withColumnRenamed("k", "b"), "b").select("src", "dst")
+    taken = p.join(s, "src", "left_semi").join(t, "dst", "left_semi").count()
+    spark = positives.sparkSession
+    if ns * nt - taken <= 2 * want:
+        found = checkpoint(named(spark.range(ns * nt).select(F.floor(F.col("id") / F.lit(max(nt, 1))).alias("a"), F.pmod("id", F.lit(max(nt, 1))).alias("b"))).join(p, ["src", "dst"], "left_anti"))
+    else:
+        found, first = None, 1
+        while True:
+            tries = p.select(F.concat_ws(">", "src", "dst").alias("e"), F.explode(F.sequence(F.lit(first), F.lit(first + per - 1))).alias("i")).withColumn("i", F.col("i").cast("string"))
+            tries = tries.select(F.pmod(draw(seed, "e", "i"), F.lit(ns)).alias("a"), F.pmod(draw(seed + 1, "e", "i"), F.lit(nt)).alias("b"))
+            new = named(tries).distinct().join(p, ["src", "dst"], "left_anti")
+            found = checkpoint(new if found is None else found.unionByName(new).distinct())
+            first += per
+            if found.count() >= want:
+                break
+    return drawn_places(found, draw(seed + 2, "src", "dst"), ["src", "dst"]).filter(F.col("place") <= want).select("src", "dst", "place")
+
+
+def link_dataset(kg: KnowledgeGraph, relation: str, source_type: str, target_type: str, *, val: float = 0.1, test: float = 0.1, ratio: float = 1.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Samples and message graph for predicting a relation: (src, dst, label, split) and (src, dst, edge_type).
+
+    Positives are split; each split gets max(1, ceil(ratio * its positives)) negatives of its own, or what is left of them, val first.  The message
+    graph has both directions of every edge but the positives held out.  A relation without edges is an error."""
+    split = checkpoint(split_edges(kg.of_type(relation).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")), val=val, test=test, seed=seed))
+    sizes = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
+    if not sizes:
+        raise ValueError(f"no edges of {relation}")
+    of = lambda kind: kg.nodes.filter(F.col("node_type") == kind).select("id")
+    wanted = {k: max(1, int(np.ceil(sizes.get(k, 0) * ratio))) for k in ("val", "test", "train") if sizes.get(k)}
+    neg = negatives(split, of(source_type), of(target_type), ratio=max(sum(wanted.values()) / sum(sizes.values()), ratio), seed=seed)
+    part, upto = F.when(F.lit(False), ""), 0
+    for k, n in wanted.items():
+        upto += n
+        part = part.when(F.col("place") <= upto, k)
+    neg = neg.withColumn("split", part).filter("split is not null")
+    samples = split.select("src", "dst", F.lit(1).alias("label"), "split").unionByName(neg.select("src", "dst", F.lit(0).alias("label"), "split"))
+    return checkpoint(samples), message_graph(kg.edges, split.filter("split <> 'train'"), relation)
+
+
+def type_slices(kg: KnowledgeGraph) -> DataFrame:
+    """Nodes with a type by their place among all and within their type, in the order of type and id: (id, node_type, global, local).
+
+    A node of a type that isn't known is an error."""
+    kind = F.when(F.col("node_type").isin(*NODE_TYPES), F.col("node_type")).otherwise(F.raise_error(F.concat(F.lit("not a known type: "), "node_type")).cast("string"))
+    local = checkpoint(local_index(kg.nodes.filter("node_type is not null").select("id", kind.alias("node_type"))))
+    size = local.groupBy("node_type").agg(F.count(F.lit(1)).alias("n"))
+    start = size.select("node_type", F.coalesce(F.sum("n").over(W.orderBy("node_type").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    return local.join(F.broadcast(start), "node_type").select("id", "node_type", (F.col("start") + F.col("i")).alias("global"), F.col("i").alias("local"))
+
+
+def prediction_relation(explicit: Column, source_type: Column, target_type: Column) -> Column:
+    """The relation to predict: the one asked for, else the one the types imply, else genes to diseases."""
+    return F.coalesce(explicit, edge_type_between(source_type, target_type), F.lit("gene_associated_with_disease"))
+
+
+def predictor_confidence(auprc: Column, mrr: Column) -> Column:
+    return F.least(F.lit(0.95), 0.5 * auprc + 0.4 * mrr + 0.2)
 
 
 def relation_ids(edges: DataFrame, held_out: str) -> DataFrame:
@@ -151,17 +212,186 @@ def link_scores(pairs: DataFrame, x: DataFrame) -> DataFrame:
     return j.select("src", "dst", s.alias("score"))
 
 
-def fit_decoder(samples: DataFrame, x: DataFrame):
-    """Logistic regression on (product, absolute difference) of the ends' vectors: a fitted MLlib model and its feature builder."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    def features(pairs: DataFrame) -> DataFrame:
-        j = pairs.join(x.select(F.col("id").alias("src"), F.col("x").alias("a")), "src").join(x.select(F.col("id").alias("dst"), F.col("x").alias("b")), "dst")
-        f = F.concat(F.zip_with("a", "b", lambda u, v: u * v), F.zip_with("a", "b", lambda u, v: F.abs(u - v)))
-        return j.withColumn("features", array_to_vector(f)).drop("a", "b")
-
-    return LogisticRegression(labelCol="label", maxIter=30, regParam=0.01).fit(features(samples)), features
+def novel_links(x: DataFrame, sources: DataFrame, targets: DataFrame, known: DataFrame, *, top: int = 10) -> DataFrame:
+    """The best targets of each source by link score, itself and its known targets left out: (src, rank, dst, score).
+
+    ``sources`` and ``targets``: (id); ``known``: (src, dst).  Every target is scored; each batch keeps only as many of a source's best
+    as can matter, ``top`` and the most any source knows already."""
+    from .retrieval import dense
+
+    seeds = sources.select("id").distinct()
+    mine = checkpoint(known.select("src", "dst").distinct().join(seeds.withColumnRenamed("id", "src"), "src", "left_semi"))
+    most = mine.groupBy("src").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    vectors = lambda ids, n: x.join(ids.select("id").distinct(), "id", "left_semi").select(F.col("id").alias(n), F.col("x").alias("vector"))
+    near = dense(vectors(targets, "doc"), vectors(seeds, "query"), top=top + most, exclude_self=True).select(F.col("query").alias("src"), F.col("doc").alias("dst"), "score")
+    free = near.join(mine, ["src", "dst"], "left_anti").withColumn("score", 1 / (1 + F.exp(-F.col("score"))))
+    order = W.partitionBy("src").orderBy(F.round("score", 9).desc(), "dst")
+    return free.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("src", "rank", "dst", "score")
+
+
+class Decoder:
+    """Scores pairs by a small network on [s, t, |s - t|, s * t + r] of the ends' vectors and a relation's own vector."""
+
+    def __init__(self, width: int, relations: int, hidden: int, seed: int) -> None:
+        r = np.random.default_rng(seed)
+        self.w = {"R": r.normal(0, 0.1, (relations, width)), "A": r.normal(0, 1 / np.sqrt(4 * width), (4 * width, hidden)), "a": np.zeros(hidden), "B": r.normal(0, 1 / np.sqrt(hidden), hidden), "b": np.zeros(1)}
+
+    @staticmethod
+    def forward(w: dict[str, np.ndarray], s: np.ndarray, t: np.ndarray, rel: np.ndarray):
+        f = np.concatenate([s, t, np.abs(s - t), s * t + w["R"][rel]], axis=1)
+        h = np.maximum(f @ w["A"] + w["a"], 0)
+        return f, h, h @ w["B"] + w["b"][0]
+
+    @staticmethod
+    def gradient(w: dict[str, np.ndarray], s: np.ndarray, t: np.ndarray, rel: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Sum of the losses, log-loss of the logits, and of their gradients."""
+        f, h, z = Decoder.forward(w, s, t, rel)
+        loss = float(np.sum(np.logaddexp(0, z) - label * z))
+        dz = 1 / (1 + np.exp(-z)) - label
+        dh = np.outer(dz, w["B"]) * (h > 0)
+        width = s.shape[1]
+        g = {"R": np.zeros_like(w["R"]), "A": f.T @ dh, "a": dh.sum(0), "B": h.T @ dz, "b": np.array([dz.sum()])}
+        np.add.at(g["R"], rel, (dh @ w["A"].T)[:, 3 * width :])
+        return loss, g
+
+    def scores(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (…, a, b, relation) with their probability as ``score``."""
+        keep = [c for c in pairs.columns if c not in ("a", "b")]
+        schema = T.StructType([*pairs.select(*keep).schema, T.StructField("score", T.DoubleType())])
+        w = self.w
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                if len(pdf):
+                    z = Decoder.forward(w, np.array(pdf["a"].tolist()), np.array(pdf["b"].tolist()), pdf["relation"].to_numpy(int))[2]
+                    yield pdf[keep].assign(score=1 / (1 + np.exp(-z)))
+
+        return pairs.mapInPandas(run, schema)
+
+
+def with_vectors(samples: DataFrame, x: DataFrame) -> DataFrame:
+    """Samples (src, dst, …) with the vectors of their ends as a and b; pairs with an unknown end are left out."""
+    return samples.join(x.select(F.col("id").alias("src"), F.col("x").alias("a")), "src").join(x.select(F.col("id").alias("dst"), F.col("x").alias("b")), "dst")
+
+
+def train_decoder(samples: DataFrame, *, relations: int = 1, hidden: int = 32, epochs: int = 50, rate: float = 0.02, patience: int = 10, min_delta: float = 1e-4, seed: int = 42) -> tuple[Decoder, list[tuple[float, float]]]:
+    """A decoder trained on samples (a, b, relation, label, split), and its losses by epoch (train, val).
+
+    Full-batch Adam on the log-loss: each epoch the tasks add up the gradients of their samples and send one row each.  Training ends when
+    the loss of split 'val' (of 'train' if there is none) hasn't fallen by ``min_delta`` for ``patience`` epochs; the best weights stay."""
+    rows = checkpoint(samples.filter("split in ('train', 'val')").select("a", "b", "relation", "label", "split"))
+    head = rows.take(1)
+    if not head:
+        raise ValueError("no samples to train on")
+    d = Decoder(len(head[0]["a"]), relations, hidden, seed)
+    m, v = ({k: np.zeros_like(a) for k, a in d.w.items()} for _ in range(2))
+    sizes = [(k, a.shape) for k, a in d.w.items()]
+    schema = "split string, loss double, n long, g array<double>"
+    best, best_w, since, losses = np.inf, d.w, 0, []
+    for epoch in range(1, epochs + 1):
+        w = d.w
+
+        def run(parts: Iterator[pd.DataFrame], w: dict = w) -> Iterator[pd.DataFrame]:
+            total: dict = {}
+            for pdf in parts:
+                for split, part in pdf.groupby("split"):
+                    loss, g = Decoder.gradient(w, np.array(part["a"].tolist()), np.array(part["b"].tolist()), part["relation"].to_numpy(int), part["label"].to_numpy(float))
+                    flat = np.concatenate([g[k].ravel() for k, _ in sizes])
+                    old = total.get(split, (0.0, 0, 0.0))
+                    total[split] = (old[0] + loss, old[1] + len(part), old[2] + flat)
+            yield pd.DataFrame([(k, x, n, list(g)) for k, (x, n, g) in total.items()], columns=["split", "loss", "n", "g"])
+
+        sums: dict = {}
+        for r in rows.mapInPandas(run, schema).collect():  # one row a task and split
+            old = sums.get(r["split"], (0.0, 0, 0.0))
+            sums[r["split"]] = (old[0] + r["loss"], old[1] + r["n"], old[2] + np.array(r["g"]))
+        loss, n, flat = sums.get("train", sums.get("val"))
+        seen = sums.get("val", sums.get("train"))
+        losses.append((loss / n, seen[0] / seen[1]))
+        if losses[-1][1] < best - min_delta:
+            best, best_w, since = losses[-1][1], w, 0
+        else:
+            since += 1
+            if since >= patience:
+                break
+        new, at = {}, 0
+        for k, shape in sizes:
+            size = int(np.prod(shape))
+            g = flat[at : at + size].reshape(shape) / n
+            at += size
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
+            new[k] = w[k] - rate * (m[k] / (1 - 0.9**epoch)) / (np.sqrt(v[k] / (1 - 0.999**epoch)) + 1e-8)
+        d.w = new
+    d.w = best_w
+    return d, losses
+
+
+def evaluate(decoder: Decoder, samples: DataFrame, split: str = "test") -> DataFrame:
+    """(auroc, auprc, mrr, hits_10, hits_50) of a split of samples (src, dst, a, b, relation, label, split); of 'train' if the split is empty."""
+    rows = samples.filter(F.col("split") == split)
+    rows = rows if rows.take(1) else samples.filter("split = 'train'")
+    scored = checkpoint(decoder.scores(rows).select("label", "score", F.concat_ws(">", "src", "dst").alias("sample")))
+    return auroc(scored).join(auprc(scored)).join(ranking_metrics(scored))
+
+
+def metrics_table(metrics: DataFrame) -> DataFrame:
+    """Models' metrics (model, auroc, auprc, hits_10, hits_50, mrr) as lines of a Markdown table: (model, line)."""
+    return metrics.select("model", F.format_string("| %s | %.4f | %.4f | %.4f | %.4f | %.4f |", "model", "auroc", "auprc", "hits_10", "hits_50", "mrr").alias("line"))
+
+
+def basis_weights(relations: list[str], rows: int, cols: int, *, bases: int = 4, seed: int = 42) -> dict[str, np.ndarray]:
+    """A matrix for each relation, a mixture of at most ``bases`` common ones."""
+    r = np.random.default_rng(seed)
+    n = max(1, min(bases, len(relations)))
+    common, share = r.normal(0, 1 / np.sqrt(rows), (n, rows, cols)), r.normal(0, 1, (len(relations), n))
+    return {k: np.tensordot(share[i], common, 1) for i, k in enumerate(relations)}
+
+
+def embeddings(kg: KnowledgeGraph, x: DataFrame, messages: DataFrame, *, model: str = "graphsage", width: int = 16, seed: int = 42) -> DataFrame:
+    """(id, x): vectors of the nodes by one of the models graphsage, rgcn and node2vec."""
+    start = len(x.select("x").head()[0])
+    if model == "graphsage":
+        return sage_encode(x, messages, sage_weights([start, width, width], seed))
+    if model == "rgcn":
+        kinds = sorted(r[0] for r in messages.select("edge_type").distinct().collect())
+        own = np.random.default_rng(seed).normal(0, 1 / np.sqrt(start), (start, width))
+        return rgcn_layer(x, messages, own, basis_weights(kinds, start, width, seed=seed))
+    if model == "node2vec":
+        return walk_vectors(cooccurrence(random_walks(kg, seed=seed)), kg.nodes.select("id"), width=width, seed=seed)
+    raise ValueError(f"not a known model: {model}")
+
+
+def embedding_store(kg: KnowledgeGraph, x: DataFrame) -> DataFrame:
+    """(id, vector, node_type, name): what a store of node vectors holds, refreshed from the graph."""
+    return kg.nodes.select("id", "node_type", "name").join(x.select("id", F.col("x").alias("vector")), "id").select("id", "vector", "node_type", "name")
+
+
+def walk_vectors(pairs: DataFrame, nodes: DataFrame, *, width: int = 16, rounds: int = 4, seed: int = 42) -> DataFrame:
+    """(id, x): unit vectors of nodes from how often they occur together (a, b, n), by subspace iteration of that symmetric matrix.
+
+    Each round multiplies by a join and a sum and makes the columns orthonormal through their Gram matrix, the only thing the driver
+    sees: width times width.  Nodes without company have the vector 0."""
+    c = checkpoint(pairs.select("a", "b", F.log1p("n").alias("n")))
+    ids = checkpoint(c.select(F.col("a").alias("id")).distinct())
+    v = ids.select("id", F.array(*[(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}:{i}"), "id")), 1, 8), 16, 10).cast("double") / F.lit(2.0**31) - 1) for i in range(width)]).alias("x"))
+    for k in range(rounds):
+        y = c.join(v.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(*[F.sum(F.col("n") * F.col("x")[i]).alias(f"y{i}") for i in range(width)])
+        y = checkpoint(y.select("id", F.array(*[f"y{i}" for i in range(width)]).alias("x")))
+        if k == rounds - 1:
+            v = y
+            break
+        gram = y.agg(*[F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"g{i}_{j}") for i in range(width) for j in range(i, width)]).first()
+        g = np.zeros((width, width))
+        for i in range(width):
+            for j in range(i, width):
+                g[i, j] = g[j, i] = gram[f"g{i}_{j}"] or 0.0
+        values, vectors = np.linalg.eigh(g)
+        scale = np.where(values > 1e-12 * max(values.max(), 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
+        v = linear(y, [("x", vectors * scale)], "h", relu=False).select("id", F.col("h").alias("x"))
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, e: s + e * e))
+    unit = v.select("id", F.when(norm > 0, F.transform("x", lambda e: e / norm)).otherwise(F.col("x")).alias("x"))
+    zero = F.array(*[F.lit(0.0)] * width)
+    return nodes.select("id").distinct().join(unit, "id", "left").select("id", F.coalesce("x", zero).alias("x"))
 
 
 def random_walks(kg: KnowledgeGraph, *, walks: int = 12, length: int = 10, seed: int = 42) -> DataFrame:

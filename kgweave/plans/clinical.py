@@ -153,7 +153,3 @@ def s10_first_molecules(spark, d):
     return S.first_molecules(table(spark, d, "bioactivities").select("molecule_chembl_id", "activity_id"), seq="activity_id").select("molecule_chembl_id", "activity_id")
 
 
-@query()
-def l10_mentions(spark, d):
-    names = table(spark, d, "vocab_terms").select(F.col("term_id").alias("id"), "name", "kind").distinct()
-    return C.mentions(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"), names)

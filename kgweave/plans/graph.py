@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
@@ -43,6 +44,21 @@ def _tenth_sql(node_type: str) -> str:
     return f"(SELECT DISTINCT id FROM kg_nodes WHERE record_id % 50 = 0 AND node_type = '{node_type}')"
 
 
+def _paths_sql(levels: int = 6) -> str:
+    """SQL of paths (source, target, length, path) between {pairs}: frontiers that keep the first path to each node."""
+    out = """near_ AS MATERIALIZED (SELECT source_id AS id, target_id AS other FROM edges WHERE source_id <> target_id UNION SELECT target_id, source_id FROM edges WHERE source_id <> target_id),
+p0 AS MATERIALIZED (SELECT DISTINCT source, target, source AS id, [source] AS path FROM {pairs}), s0 AS MATERIALIZED (SELECT source, target, id FROM p0)"""
+    for k in range(1, levels + 1):
+        out += f""", p{k} AS MATERIALIZED (SELECT p.source, p.target, n.other AS id, min(list_append(p.path, n.other)) AS path FROM p{k - 1} p JOIN near_ n USING (id) WHERE p.id <> p.target
+  AND NOT EXISTS (SELECT 1 FROM s{k - 1} s WHERE s.source = p.source AND s.target = p.target AND s.id = n.other) AND NOT EXISTS (SELECT 1 FROM s{k - 1} s WHERE s.source = p.source AND s.target = p.target AND s.id = p.target) GROUP BY ALL),
+s{k} AS MATERIALIZED (SELECT * FROM s{k - 1} UNION ALL SELECT source, target, id FROM p{k})"""
+    found = " UNION ALL ".join([f"SELECT source, target, {k} AS length, path FROM p{k} WHERE id = target" + (" AND id IN (SELECT id FROM nodes)" if k == 0 else "") for k in range(levels + 1)])
+    return out + f", paths AS MATERIALIZED ({found}) "
+
+
+PATHS = _paths_sql()
+
+
 # --- store -----------------------------------------------------------------------------------------------------------
 
 
@@ -114,14 +130,6 @@ def i19_typed_edge_index(spark, d):
     return e.groupBy("source_type", "edge_type", "target_type").agg(F.count(F.lit(1)).alias("n"), F.sum("si").alias("source_sum"), F.sum("ti").alias("target_sum"))
 
 
-@query(GRAPH + """, d AS (SELECT id, count(*) AS degree FROM (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges) GROUP BY id)
-SELECT u.id, coalesce(d.degree, 0) AS degree, round(14 + 8 * ln(1 + coalesce(d.degree, 0)), 1) AS size FROM universe u LEFT JOIN d USING (id)
-""")
-def i20_vis_nodes(spark, d):
-    deg = A.directed_degree(slim_graph(spark, d))
-    return deg.select("id", "degree", F.round(14 + 8 * F.log1p("degree"), 1).alias("size"))
-
-
 # --- lookups ---------------------------------------------------------------------------------------------------------
 
 
@@ -202,12 +210,6 @@ def _path_pairs(spark, d):
     return na.join(nb, "n").select("source", "target")
 
 
-@query()
-def q03_shortest_paths(spark, d):
-    p = slim_graph(spark, d).shortest_paths(_path_pairs(spark, d))
-    return p.select("source", "target", F.col("length").cast("int").alias("length"), F.array_join("path", ">").alias("path"))
-
-
 @query(GRAPH + """, pg AS (SELECT DISTINCT source_id AS publication, target_id AS gene FROM edges WHERE edge_type = 'publication_mentions_gene'),
 pd AS (SELECT DISTINCT source_id AS publication, target_id AS disease FROM edges WHERE edge_type = 'publication_mentions_disease'),
 gd AS (SELECT DISTINCT source_id AS gene, target_id AS disease FROM edges WHERE edge_type = 'gene_associated_with_disease')
@@ -231,32 +233,6 @@ def q08_structural_holes(spark, d):
     return slim_graph(spark, d).structural_holes(_tenth(spark, d, "Gene"), target_type="Disease", relation="gene_associated_with_disease")
 
 
-@query(GRAPH + """, s AS (SELECT g.target_id AS disease, t.source_id AS drug, sum(g.score * t.score) AS score, count(DISTINCT g.source_id) AS genes
-  FROM edges g JOIN edges t ON t.target_id = g.source_id AND t.edge_type = 'drug_targets_gene' WHERE g.edge_type = 'gene_associated_with_disease' GROUP BY ALL),
-c AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM edges k WHERE k.edge_type = 'drug_treats_disease' AND k.source_id = s.drug AND k.target_id = s.disease)),
-m AS (SELECT *, max(score) OVER (PARTITION BY disease) AS best FROM c),
-f AS (SELECT disease, drug, round(0.35 * score / greatest(best, 1.0) + 0.15 * least(genes, 5) / 5.0, 6) AS confidence FROM m)
-SELECT disease, drug, confidence, CASE WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS level
-FROM f QUALIFY row_number() OVER (PARTITION BY disease ORDER BY confidence DESC, drug) <= 10
-""")
-def q09_repurposing_report(spark, d):
-    from .learning import encoded
-
-    kg, _, x = encoded(spark, d, "drug_treats_disease")
-    pairs = kg.repurposing()
-    evidence = G.repurposing_evidence(kg, pairs)
-    model = L.link_scores(pairs.select(F.col("drug").alias("src"), F.col("disease").alias("dst")), x).select(F.col("dst").alias("disease"), F.col("src").alias("drug"), F.col("score").alias("model"))
-    return G.repurposing_report(kg, model=model, evidence=evidence)
-
-
-@query(GRAPH + """, mem AS (SELECT DISTINCT target_id AS term, source_id AS gene FROM edges WHERE edge_type = 'gene_in_pathway')
-SELECT e.source_id, e.target_id, e.score, string_agg(a.gene, '|' ORDER BY a.gene) AS genes
-FROM edges e JOIN mem a ON a.term = e.source_id JOIN mem b ON b.term = e.target_id AND b.gene = a.gene WHERE e.edge_type = 'pathway_crosstalks_with' GROUP BY ALL
-""")
-def q10_pathway_crosstalk(spark, d):
-    return G.pathway_crosstalk(slim_graph(spark, d))
-
-
 @query(GRAPH + """SELECT e.source_id AS drug, string_agg(DISTINCT n.name, ', ' ORDER BY n.name) AS mechanism
 FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.edge_type = 'drug_targets_gene' AND n.name IS NOT NULL GROUP BY ALL""")
 def q12_target_mechanisms(spark, d):
@@ -282,23 +258,43 @@ def a01_degree_centrality(spark, d):
     return A.degree_centrality(slim_graph(spark, d)).select("id", "degree", F.round("centrality", 9).alias("centrality"))
 
 
-def _pagerank_sql(rounds: int) -> str:
+def _pagerank_sql(most: int = 60) -> str:
+    """SQL of ranks (id, rank): rounds until, at a fifth one, ranks have moved by less than a millionth of the number of nodes."""
     s = GRAPH + """, w AS MATERIALIZED (SELECT source_id, target_id, count(*) AS w FROM edges GROUP BY ALL),
 o AS (SELECT source_id, sum(w) AS t FROM w GROUP BY ALL), p AS MATERIALIZED (SELECT source_id, target_id, w / t AS p FROM w JOIN o USING (source_id)),
 n AS (SELECT count(*) AS n FROM universe), r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / (SELECT n FROM n) AS rank FROM universe)"""
-    for k in range(1, rounds + 1):
+    for k in range(1, most + 1):
         s += f""", l{k} AS MATERIALIZED (SELECT coalesce(sum(rank), 0) AS lost FROM r{k - 1} WHERE id NOT IN (SELECT source_id FROM o)),
 r{k} AS MATERIALIZED (SELECT u.id, 0.85::DOUBLE * (coalesce(c.came, 0) + (SELECT lost FROM l{k}) / (SELECT n FROM n)) + 0.15::DOUBLE / (SELECT n FROM n) AS rank
   FROM universe u LEFT JOIN (SELECT target_id AS id, sum(rank * p) AS came FROM r{k - 1} JOIN p ON p.source_id = r{k - 1}.id GROUP BY ALL) c USING (id))"""
-    return s
-
-
-@query(_pagerank_sql(10) + "SELECT id, round(rank, 9) AS rank FROM r10")
+    fifth = range(5, most + 1, 5)
+    s += ", moved AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {k} AS k, sum(abs(a.rank - b.rank)) AS moved FROM r{k} a JOIN r{k - 1} b USING (id)" for k in fifth) + ")"
+    return s + ", ranks AS MATERIALIZED (SELECT id, rank FROM (" + " UNION ALL ".join(f"SELECT {k} AS k, * FROM r{k}" for k in fifth) + ") WHERE k = (SELECT min(k) FROM moved WHERE moved < 1e-6 * (SELECT n FROM n)))"
+
+
+def _betweenness_sql(levels: int = 14) -> str:
+    """SQL of btw (id, betweenness): breadth-first levels from every node, then what flows back along them."""
+    s = """, near_ AS MATERIALIZED (SELECT source_id AS id, target_id AS other FROM edges WHERE source_id <> target_id UNION SELECT target_id, source_id FROM edges WHERE source_id <> target_id),
+f0 AS MATERIALIZED (SELECT id AS s, id, 1.0::DOUBLE AS sigma FROM universe)"""
+    for k in range(1, levels + 1):
+        seen = " ".join(f"AND NOT EXISTS (SELECT 1 FROM f{j} x WHERE x.s = f.s AND x.id = n.other)" for j in (k - 1, k - 2) if j >= 0)
+        s += f", f{k} AS MATERIALIZED (SELECT f.s, n.other AS id, sum(f.sigma) AS sigma FROM f{k - 1} f JOIN near_ n USING (id) WHERE TRUE {seen} GROUP BY ALL)"
+    s += f", d{levels} AS MATERIALIZED (SELECT s, id, sigma, 0.0::DOUBLE AS delta FROM f{levels})"
+    for k in range(levels - 1, 0, -1):
+        s += f", d{k} AS MATERIALIZED (SELECT f.s, f.id, f.sigma, f.sigma * coalesce(b.part, 0) AS delta FROM f{k} f LEFT JOIN (SELECT d.s, n.other AS id, sum((1 + d.delta) / d.sigma) AS part FROM d{k + 1} d JOIN near_ n USING (id) GROUP BY ALL) b USING (s, id))"
+    flows = " UNION ALL ".join(f"SELECT id, delta FROM d{k}" for k in range(1, levels + 1))
+    return s + f", btw AS MATERIALIZED (SELECT u.id, coalesce(b.b, 0) / ((SELECT count(*) FROM universe) - 1.0::DOUBLE) / ((SELECT count(*) FROM universe) - 2.0::DOUBLE) AS betweenness FROM universe u LEFT JOIN (SELECT id, sum(delta) AS b FROM ({flows}) GROUP BY ALL) b USING (id))"
+
+
+@query(_pagerank_sql() + "SELECT id, round(rank, 9) AS rank FROM ranks")
 def a03_pagerank(spark, d):
-    return A.pagerank(slim_graph(spark, d), rounds=10).select("id", F.round("rank", 9).alias("rank"))
+    return A.pagerank(slim_graph(spark, d)).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query()
+@query(GRAPH.replace("WITH ", "WITH RECURSIVE ", 1) + """, near_ AS MATERIALIZED (SELECT source_id AS id, target_id AS other FROM edges WHERE source_id <> target_id UNION SELECT target_id, source_id FROM edges WHERE source_id <> target_id),
+low AS (SELECT id, min(least(id, other)) AS m FROM near_ GROUP BY ALL), roots AS (SELECT id FROM low WHERE m = id),
+reach AS (SELECT id AS root, id FROM roots UNION SELECT r.root, n.other FROM reach r JOIN near_ n USING (id))
+SELECT u.id, coalesce(min(r.root), u.id) AS component FROM universe u LEFT JOIN reach r USING (id) GROUP BY u.id""")
 def a04_components(spark, d):
     return A.components(slim_graph(spark, d))
 
@@ -309,19 +305,41 @@ def a05_hub_genes(spark, d):
     return kg.nodes.filter("node_type = 'Gene'").join(A.degree_centrality(kg), "id").orderBy(F.desc("degree"), "id").limit(10).select("id", "name", "degree")
 
 
-@query(_pagerank_sql(10) + _DEGREE + """,
+@query(_pagerank_sql() + _DEGREE + _betweenness_sql() + """,
 k AS (SELECT n.id, n.name, (SELECT count(*) FROM edges e WHERE e.edge_type = 'drug_targets_gene' AND e.target_id = n.id) AS drugs,
  (SELECT count(*) FROM edges e WHERE e.edge_type = 'gene_in_pathway' AND e.source_id = n.id) AS pathways,
  (SELECT count(*) FROM edges e WHERE e.edge_type = 'gene_associated_with_disease' AND e.source_id = n.id) AS diseases FROM nodes n WHERE n.node_type = 'Gene'),
-f AS (SELECT k.*, 0.4 * c.centrality + 0.3 * r.rank AS combined FROM k JOIN cen c USING (id) JOIN r10 r USING (id))
+f AS (SELECT k.*, 0.4 * c.centrality + 0.3 * b.betweenness + 0.3 * r.rank AS combined FROM k JOIN cen c USING (id) JOIN ranks r USING (id) JOIN btw b USING (id))
 SELECT id, name, round(combined, 8) AS combined, round(least(1.0, combined + 0.25 * least(drugs, 3) / 3 + 0.15 * least(pathways, 5) / 5 + 0.15 * least(diseases, 5) / 5), 8) AS druggability, drugs, pathways, diseases FROM f
 """)
 def a06_target_ranking(spark, d):
     kg = slim_graph(spark, d)
-    t = A.target_ranking(kg, A.degree_centrality(kg), A.betweenness(kg), A.pagerank(kg, rounds=10))
+    t = A.target_ranking(kg, A.degree_centrality(kg), A.betweenness(kg), A.pagerank(kg))
     return t.withColumns({c: F.round(c, 8) for c in ("combined", "druggability")})
 
 
+@query(GRAPH + _betweenness_sql() + "SELECT id, round(betweenness, 9) AS betweenness FROM btw")
+def a02_betweenness(spark, d):
+    """Exact betweenness of every node over all edges."""
+    return A.betweenness(slim_graph(spark, d)).withColumn("betweenness", F.round("betweenness", 9))
+
+
+@query()
+def a07_druggability(spark, d):
+    """Druggability of genes asked for by id or name."""
+    kg = slim_graph(spark, d)
+    asked = table(spark, d, "kg_nodes").filter("record_id % 50 = 0 and node_type = 'Gene' and name is not null").select(F.col("name").alias("gene"))
+    t = A.target_ranking(kg, A.degree_centrality(kg), A.betweenness(kg), A.pagerank(kg))
+    return A.druggability(kg, asked, t).withColumn("druggability", F.round("druggability", 8))
+
+
+@query()
+def a10_largest_communities(spark, d):
+    """The ten largest communities with their members."""
+    c = A.largest_communities(A.label_communities(slim_graph(spark, d)))
+    return c.select("number", "community", "size", F.array_join("members", "|").alias("members"))
+
+
 @query()
 def a08_communities(spark, d):
     return A.label_communities(slim_graph(spark, d))
@@ -340,21 +358,37 @@ def _enrichment(spark, d):
     return A.enrichment(q, members, kg.nodes.filter("node_type = 'Gene'").select(F.col("id").alias("gene")))
 
 
-@query(GRAPH + f""", bg AS (SELECT id AS gene FROM nodes WHERE node_type = 'Gene'), nb AS (SELECT count(*) AS nb FROM bg),
-q AS (SELECT DISTINCT target_id AS query, source_id AS gene FROM edges WHERE edge_type = 'gene_associated_with_disease' AND target_id IN {_tenth_sql('Disease')}),
-m AS (SELECT DISTINCT target_id AS term, source_id AS gene FROM edges WHERE edge_type = 'gene_in_pathway' AND source_id IN (SELECT gene FROM bg)),
-nq AS (SELECT query, count(*) AS nq, count(*) FILTER (WHERE gene NOT IN (SELECT gene FROM bg)) AS nout FROM q GROUP BY ALL), nt AS (SELECT term, count(*) AS nt FROM m GROUP BY ALL),
-h AS (SELECT query, term, count(*) AS a FROM q JOIN m USING (gene) GROUP BY ALL),
-x AS (SELECT query, term, a AS overlap, nq, nt, nq + nt - a + greatest(nb + nout - (nq + nt - a) - nout, 0) AS n FROM h JOIN nq USING (query) JOIN nt USING (term), nb),
-pv AS (SELECT query, term, overlap, least(1.0, (SELECT sum(exp(lgamma(nt + 1) - lgamma(k + 1) - lgamma(nt - k + 1) + lgamma(n - nt + 1) - lgamma(nq - k + 1) - lgamma(n - nt - nq + k + 1) - lgamma(n + 1) + lgamma(nq + 1) + lgamma(n - nq + 1)))
-   FROM generate_series(overlap, least(nq, nt)) g(k) WHERE nq - k <= n - nt)) AS p FROM x),
-rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY p, term) AS rk, count(*) OVER (PARTITION BY query) AS m FROM pv)
+def _enrichment_sql(kind: str, x: str) -> str:
+    """SQL of {x}_pv (query, term, overlap, p): terms of a relation over the genes of query diseases."""
+    return f""", {x}_bg AS (SELECT id AS gene FROM nodes WHERE node_type = 'Gene'), {x}_nb AS (SELECT count(*) AS nb FROM {x}_bg),
+{x}_q AS (SELECT DISTINCT target_id AS query, source_id AS gene FROM edges WHERE edge_type = 'gene_associated_with_disease' AND target_id IN {_tenth_sql('Disease')}),
+{x}_m AS (SELECT DISTINCT target_id AS term, source_id AS gene FROM edges WHERE edge_type = '{kind}' AND source_id IN (SELECT gene FROM {x}_bg)),
+{x}_nq AS (SELECT query, count(*) AS nq, count(*) FILTER (WHERE gene NOT IN (SELECT gene FROM {x}_bg)) AS nout FROM {x}_q GROUP BY ALL), {x}_nt AS (SELECT term, count(*) AS nt FROM {x}_m GROUP BY ALL),
+{x}_h AS (SELECT query, term, count(*) AS a FROM {x}_q JOIN {x}_m USING (gene) GROUP BY ALL),
+{x}_x AS (SELECT query, term, a AS overlap, nq, nt, nq + nt - a + greatest(nb + nout - (nq + nt - a) - nout, 0) AS n FROM {x}_h JOIN {x}_nq USING (query) JOIN {x}_nt USING (term), {x}_nb),
+{x}_pv AS MATERIALIZED (SELECT query, term, overlap, least(1.0, (SELECT sum(exp(lgamma(nt + 1) - lgamma(k + 1) - lgamma(nt - k + 1) + lgamma(n - nt + 1) - lgamma(nq - k + 1) - lgamma(n - nt - nq + k + 1) - lgamma(n + 1) + lgamma(nq + 1) + lgamma(n - nq + 1)))
+   FROM generate_series(overlap, least(nq, nt)) g(k) WHERE nq - k <= n - nt)) AS p FROM {x}_x)"""
+
+
+@query(GRAPH + _enrichment_sql("gene_in_pathway", "e") + """,
+rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY p, term) AS rk, count(*) OVER (PARTITION BY query) AS m FROM e_pv)
 SELECT query, term, overlap, round(p, 8) AS p, round(least(1.0, min(p * m / rk) OVER (PARTITION BY query ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 8) AS fdr FROM rk
 """)
 def a11_enrichment(spark, d):
     return _enrichment(spark, d).withColumns({c: F.round(c, 8) for c in ("p", "fdr")})
 
 
+@query(GRAPH + _enrichment_sql("gene_in_pathway", "e") + """, ten AS (SELECT DISTINCT term FROM (SELECT term, row_number() OVER (PARTITION BY query ORDER BY round(p, 12), term) AS r FROM e_pv) WHERE r <= 10),
+mem AS (SELECT DISTINCT target_id AS term, source_id AS gene FROM edges WHERE edge_type = 'gene_in_pathway')
+SELECT e.source_id, e.target_id, e.score, string_agg(a.gene, '|' ORDER BY a.gene) AS genes
+FROM edges e JOIN mem a ON a.term = e.source_id JOIN mem b ON b.term = e.target_id AND b.gene = a.gene WHERE e.edge_type = 'pathway_crosstalks_with' AND e.source_id IN (SELECT term FROM ten) AND e.target_id IN (SELECT term FROM ten) GROUP BY ALL
+""")
+def q10_pathway_crosstalk(spark, d):
+    """Crosstalk among the ten pathways most enriched in the genes of query diseases."""
+    hits = _enrichment(spark, d).withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.round("p", 12), "term"))).filter("r <= 10")
+    return G.pathway_crosstalk(slim_graph(spark, d), hits.select("term").distinct())
+
+
 @query(GRAPH + f""", q AS {_tenth_sql('Gene')}, s AS MATERIALIZED (SELECT DISTINCT source_id AS id, target_id AS t FROM edges), z AS (SELECT id, count(*) AS n FROM s GROUP BY ALL),
 b AS (SELECT a.id, c.id AS other, count(*) AS i FROM s a JOIN s c USING (t) WHERE a.id IN (SELECT id FROM q) AND a.id <> c.id GROUP BY ALL),
 f AS (SELECT b.id, other, i / (x.n + y.n - i) AS score FROM b JOIN z x ON x.id = b.id JOIN z y ON y.id = b.other)

@@ -99,17 +99,6 @@ def s24_article_scan(spark, d):
     return table(spark, d, "pubmed_articles").select("article_id", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), F.desc("article_id")).limit(20)
 
 
-@query("""SELECT source_id, target_id, edge_type, max(score) AS score FROM (
-SELECT 'gene:' || lower(ensembl_id) AS source_id, 'disease:' || lower(disease_id) AS target_id, 'gene_associated_with_disease' AS edge_type, CASE WHEN isnan(score) THEN NULL ELSE score END AS score FROM disease_associations
-UNION ALL SELECT 'drug:' || lower(drug_id), 'disease:' || lower(disease_id), 'drug_treats_disease', 0.8 FROM drug_associations) WHERE source_id IS NOT NULL AND target_id IS NOT NULL GROUP BY ALL""")
-def i07_ingest_associations(spark, d):
-    """Associations as edges: ids lower-cased under a prefix, treatments with the constant score 0.8."""
-    rid = lambda prefix, c: F.concat(F.lit(prefix + ":"), F.lower(c))
-    g = table(spark, d, "disease_associations").select(rid("gene", "ensembl_id").alias("source_id"), rid("disease", "disease_id").alias("target_id"), F.lit("gene_associated_with_disease").alias("edge_type"), F.when(~F.isnan("score"), F.col("score")).alias("score"))
-    t = table(spark, d, "drug_associations").select(rid("drug", "drug_id").alias("source_id"), rid("disease", "disease_id").alias("target_id"), F.lit("drug_treats_disease").alias("edge_type"), F.lit(0.8).alias("score"))
-    return g.unionByName(t).dropna(subset=["source_id", "target_id"]).groupBy("source_id", "target_id", "edge_type").agg(F.max("score").alias("score"))
-
-
 # --- lookups and relational ----------------------------------------------------------------------------------------------
 
 
@@ -118,48 +107,6 @@ def l01_get_node(spark, d):
     return slim_graph(spark, d).get_node("gene:x005eg").select("id", "name", "node_type")
 
 
-@query(GRAPH + """, q AS (SELECT DISTINCT name FROM kg_nodes WHERE record_id % 50 = 0 AND name IS NOT NULL)
-SELECT q.name AS query, n.id FROM q JOIN nodes n ON lower(n.name) = lower(trim(q.name)) QUALIFY row_number() OVER (PARTITION BY q.name ORDER BY n.id) = 1""")
-def l04_resolve_names(spark, d):
-    """Delivered names to nodes by exact name, the first id of equals."""
-    q = table(spark, d, "kg_nodes").filter("record_id % 50 = 0 and name is not null").select(F.col("name").alias("query")).distinct().withColumn("k", F.lower(F.trim("query")))
-    n = slim_graph(spark, d).nodes.filter("name is not null").groupBy(F.lower("name").alias("k")).agg(F.min("id").alias("id"))
-    return q.join(n, "k").select("query", "id")
-
-
-@query("SELECT event_id, coalesce(TRY_CAST(regexp_extract(props, '[0-9]+') AS INTEGER), 0) AS k FROM events")
-def l14_coerce(spark, d):
-    return table(spark, d, "events").select("event_id", F.coalesce(F.regexp_extract("props", "[0-9]+", 0).try_cast("int"), F.lit(0)).alias("k"))
-
-
-@query(GRAPH + """SELECT g.source_id AS gene, g.target_id AS disease, max(g.score) AS score, count(DISTINCT p.source_id) AS papers FROM edges g
-LEFT JOIN edges p ON p.edge_type = 'publication_mentions_gene' AND p.target_id = g.source_id AND EXISTS (SELECT 1 FROM edges x WHERE x.edge_type = 'publication_mentions_disease' AND x.source_id = p.source_id AND x.target_id = g.target_id)
-WHERE g.edge_type = 'gene_associated_with_disease' GROUP BY ALL""")
-def q02_gene_disease_evidence(spark, d):
-    kg = slim_graph(spark, d)
-    direct = kg.of_type("gene_associated_with_disease").groupBy(F.col("source_id").alias("gene"), F.col("target_id").alias("disease")).agg(F.max("score").alias("score"))
-    papers = kg.supporting_publications().groupBy("gene", "disease").agg(F.count(F.lit(1)).alias("papers"))
-    return direct.join(papers, ["gene", "disease"], "left").withColumn("papers", F.coalesce("papers", F.lit(0)))
-
-
-@query(GRAPH + """, m AS (SELECT DISTINCT source_id AS p, target_id AS gene FROM edges WHERE edge_type = 'publication_mentions_gene'), h AS (SELECT DISTINCT source_id, target_id FROM hypotheses)
-SELECT h.source_id, h.target_id, count(*) AS papers FROM h JOIN m ON m.gene = h.source_id JOIN (SELECT DISTINCT source_id AS p, target_id AS disease FROM edges WHERE edge_type = 'publication_mentions_disease') x ON x.p = m.p AND x.disease = h.target_id GROUP BY ALL""")
-def q07_literature_bridge(spark, d):
-    """Publications that mention both ends of a hypothesis."""
-    kg = slim_graph(spark, d)
-    of = lambda t, c: kg.of_type(t).select(F.col("source_id").alias("p"), F.col("target_id").alias(c)).distinct()
-    h = table(spark, d, "hypotheses").select("source_id", "target_id").distinct()
-    both = h.join(of("publication_mentions_gene", "source_id"), "source_id").join(of("publication_mentions_disease", "target_id"), ["p", "target_id"])
-    return both.groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("papers"))
-
-
-@query(GRAPH + "SELECT DISTINCT h.source_id, h.target_id, EXISTS (SELECT 1 FROM und WHERE u = least(h.source_id, h.target_id) AND v = greatest(h.source_id, h.target_id)) AS linked FROM hypotheses h")
-def q11_edge_exists(spark, d):
-    h = table(spark, d, "hypotheses").select("source_id", "target_id").distinct().withColumns({"u": F.least("source_id", "target_id"), "v": F.greatest("source_id", "target_id")})
-    u = slim_graph(spark, d).undirected().select("u", "v").distinct().withColumn("linked", F.lit(True))
-    return h.join(u, ["u", "v"], "left").select("source_id", "target_id", F.coalesce("linked", F.lit(False)).alias("linked"))
-
-
 @query(f"SELECT article_id FROM pubmed_articles WHERE contains(lower(coalesce(title, '')), '{TOPIC}') OR contains(lower(coalesce(abstract, '')), '{TOPIC}')")
 def a16_topic_articles(spark, d):
     t = F.lower(F.coalesce("title", F.lit(""))).contains(TOPIC) | F.lower(F.coalesce("abstract", F.lit(""))).contains(TOPIC)
@@ -175,12 +122,6 @@ def a15_typed_neighbours(spark, d):
     return near.withColumn("score", F.round("score", 6))
 
 
-@query()
-def a02_betweenness(spark, d):
-    """Exact betweenness of every node over all edges."""
-    return A.betweenness(slim_graph(spark, d)).withColumn("betweenness", F.round("betweenness", 9))
-
-
 @query("""WITH p AS (SELECT term_id AS k, kind, length(name) / 1000.0::DOUBLE AS p FROM (SELECT DISTINCT term_id, kind, name FROM vocab_terms)), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY p, k) AS rk, count(*) OVER (PARTITION BY kind) AS m FROM p)
 SELECT k, round(least(1.0, min(p * m / rk) OVER (PARTITION BY kind ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 9) AS fdr FROM r""")
 def a12_benjamini_hochberg(spark, d):
@@ -230,36 +171,6 @@ def m09_link_scores(spark, d):
     return L.link_scores(pairs, v.select("id", "x")).withColumn("score", F.round("score", 8))
 
 
-@query("SELECT request_id, pos, trim(x) AS part FROM (SELECT request_id, unnest(string_split(condition, ',')) AS x, generate_subscripts(string_split(condition, ','), 1) - 1 AS pos FROM (SELECT DISTINCT request_id, condition FROM clinical_intake)) WHERE trim(x) <> ''")
-def c15_condition_parts(spark, d):
-    r = table(spark, d, "clinical_intake").select("request_id", "condition").distinct()
-    return r.select("request_id", F.posexplode(F.split("condition", ",")).alias("pos", "x")).select("request_id", F.col("pos").cast("long").alias("pos"), F.trim("x").alias("part")).filter("part <> ''")
-
-
-@query(GRAPH + """, m AS (SELECT e.source_id AS drug, n.name FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.edge_type = 'drug_targets_gene' AND n.name IS NOT NULL), c AS (SELECT chembl_id, min(mechanism) AS mechanism FROM chembl_drugs WHERE mechanism IS NOT NULL GROUP BY ALL),
-k AS (SELECT id, chembl_id FROM kg_nodes WHERE chembl_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, record_id DESC) = 1)
-SELECT n.id, coalesce(c.mechanism, (SELECT string_agg(DISTINCT m.name, ', ' ORDER BY m.name) FROM m WHERE m.drug = n.id)) AS mechanism FROM nodes n LEFT JOIN k USING (id) LEFT JOIN c ON c.chembl_id = k.chembl_id WHERE n.node_type = 'Drug'""")
-def c17_mechanisms(spark, d):
-    """A drug's mechanism from the drug list, else the names of its targets."""
-    kg = slim_graph(spark, d)
-    ids = table(spark, d, "kg_nodes").filter("chembl_id is not null").groupBy("id").agg(F.max_by("chembl_id", F.struct("updated_at", "record_id")).alias("chembl_id"))
-    listed = table(spark, d, "chembl_drugs").filter("mechanism is not null").groupBy("chembl_id").agg(F.min("mechanism").alias("listed"))
-    names = kg.targets("drug_targets_gene").filter("name is not null").groupBy(F.col("source_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("names"))
-    return kg.nodes.filter("node_type = 'Drug'").select("id").join(ids, "id", "left").join(listed, "chembl_id", "left").join(names, "id", "left").select("id", F.coalesce("listed", "names").alias("mechanism"))
-
-
-@query(GRAPH + """SELECT n.id, n.name, (SELECT count(*) FROM edges e WHERE e.source_id = n.id AND e.edge_type = 'gene_associated_with_disease') AS diseases,
-(SELECT count(*) FROM edges e WHERE e.target_id = n.id AND e.edge_type = 'drug_targets_gene') AS drugs, (SELECT count(*) FROM edges e WHERE e.source_id = n.id AND e.edge_type = 'gene_in_pathway') AS pathways,
-(SELECT count(*) FROM edges e WHERE e.target_id = n.id AND e.edge_type = 'publication_mentions_gene') AS papers FROM nodes n WHERE n.node_type = 'Gene'""")
-def o15_gene_report(spark, d):
-    kg = slim_graph(spark, d)
-    kinds = {"diseases": ("gene_associated_with_disease", "source_id"), "drugs": ("drug_targets_gene", "target_id"), "pathways": ("gene_in_pathway", "source_id"), "papers": ("publication_mentions_gene", "target_id")}
-    ends = F.array(*[F.struct(F.lit(k).alias("what"), F.col(end).alias("id")) for k, (_, end) in kinds.items()])
-    of = F.filter(ends, lambda x: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for k, (t, _) in kinds.items() for v in (k, t)]), x["what"]) == F.col("edge_type"), F.lit(False)))
-    counts = kg.of_type(*[t for t, _ in kinds.values()]).select(F.explode(of).alias("x")).groupBy("x.id").agg(*[F.count_if(F.col("x.what") == k).alias(k) for k in kinds])
-    return kg.nodes.filter("node_type = 'Gene'").select("id", "name").join(counts, "id", "left").select("id", "name", *[F.coalesce(k, F.lit(0)).alias(k) for k in kinds])
-
-
 @query("""WITH c AS (SELECT hypothesis_id, score, len(literature_support) AS n FROM (SELECT DISTINCT hypothesis_id, score, literature_support FROM hypotheses))
 SELECT hypothesis_id, round(CASE WHEN n = 0 THEN 0.1 ELSE greatest(0, least(0.95, 0.55 + 0.35 * least(n / 5.0, 1.0))) END, 9) AS confidence FROM c WHERE n IS NOT NULL""")
 def o12_literature_confidence(spark, d):
@@ -273,8 +184,3 @@ def o20_hypothesis_strength(spark, d):
     return h.select("hypothesis_id", F.round(0.7 * F.col("score") + 0.3 * F.least(F.greatest(F.coalesce(F.size("literature_support"), F.lit(0)), F.lit(0)), F.lit(3)) / 3.0, 9).alias("strength"))
 
 
-@query("SELECT vector_id, doc_id FROM documents WHERE vector_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY vector_id ORDER BY created_at DESC, doc_id DESC) = 1")
-def i13_vector_upsert(spark, d):
-    t = table(spark, d, "documents").filter("vector_id is not null")
-    return t.groupBy("vector_id").agg(F.max_by("doc_id", F.struct("created_at", "doc_id")).alias("doc_id"))
-

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import clinical, context, graph, learning, more, retrieval
+from . import clinical, context, graph, ingest, learning, more, reports, retrieval
 
-MODULES = (graph, retrieval, learning, clinical, more, context)
+MODULES = (graph, retrieval, learning, clinical, more, context, ingest, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -201,15 +201,6 @@ def o05_clauses(spark, d):
     return c.select("doc_id", "pos", F.md5("clause").alias("digest"), F.length("clause").alias("n"))
 
 
-@query()
-def o06_decompose(spark, d):
-    """Clauses as tasks, the first of each kind and wording."""
-    c = table(spark, d, "documents").filter("text is not null").select("doc_id", F.posexplode(X.split_clauses(F.col("text"))).alias("pos", "clause"))
-    t = c.withColumn("task", F.coalesce(X.classify_task(F.col("clause")), F.lit("literature")))
-    once = t.groupBy("doc_id", "task", F.md5(F.lower("clause")).alias("digest")).agg(F.min("pos").alias("pos"))
-    return once.withColumn("priority", X.task_priority(F.col("task")))
-
-
 @query("SELECT doc_id, i AS pos, md5(substr(text, CAST(i * 180 + 1 AS BIGINT), 180)) AS digest FROM (SELECT doc_id, text, unnest(generate_series(0, (length(text) - 1) // 180)) AS i FROM documents WHERE length(text) > 0)")
 def o22_chunks(spark, d):
     c = table(spark, d, "documents").filter(F.length("text") > 0).select("doc_id", F.posexplode(X.chunk(F.col("text"))).alias("pos", "piece"))
