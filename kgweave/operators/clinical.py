@@ -112,17 +112,26 @@ def set_similarity(a: Column, b: Column) -> Column:
 def mentions(texts: DataFrame, names: DataFrame, *, limit: int = 5) -> DataFrame:
     """Names that stand in a text as whole words, case and white space aside: (doc, rank, id, at).
 
-    ``texts``: (doc, text); ``names``: (id, name, kind).  Every run of words of a text that begins where some name begins
-    is joined to the names by equality, so neither side is compared with all of the other.  Order: first place in the text,
+    ``texts``: (doc, text); ``names``: (id, name, kind).  Every run of words of a text that is as long as some name is
+    joined to the names by equality, so neither side is compared with all of the other.  Order: first place in the text,
     publications last, longer names first, id; each id once."""
     words = r"[\p{L}\p{N}_]+"
     split = lambda c: F.regexp_extract_all(F.lower(c), F.lit(words), F.lit(0))
-    n = names.filter("name is not null").select("id", "name", "kind", split(F.col("name")).alias("w")).filter(F.size("w") > 0)
-    n = n.select("id", "kind", F.length("name").alias("len"), F.col("w")[0].alias("first"), F.array_join("w", " ").alias("key"), F.size("w").alias("size"))
-    sizes = n.groupBy("first").agg(F.collect_set("size").alias("sizes"))
-    at = texts.select("doc", split(F.col("text")).alias("w")).select("doc", "w", F.posexplode("w").alias("at", "first")).join(sizes, "first")
-    runs = at.select("doc", "at", F.explode("sizes").alias("size"), "w").select("doc", "at", F.array_join(F.slice("w", F.col("at") + 1, F.col("size")), " ").alias("key"), "size")
-    hits = salted_join(runs, n.select("id", "kind", "len", "key", "size"), ["key", "size"], F.col("doc"))
+    n = names.filter("name is not null").select("id", "kind", F.length("name").alias("len"), split(F.col("name")).alias("w")).filter(F.size("w") > 0)
+    n = checkpoint(n.select("id", "kind", "len", F.array_join("w", " ").alias("key"), F.size("w").alias("size")))
+    sizes = sorted(r[0] for r in n.select("size").distinct().collect())  # as many as names have different numbers of words
+
+    def runs_of(k: int) -> Column:
+        """Every run of ``k`` words with its place."""
+        w = F.col("w")
+        run = lambda i: F.struct((i - 1).alias("at"), F.lit(k).alias("size"), F.array_join(F.slice(w, i, F.lit(k)), " ").alias("key"))
+        return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), run)).otherwise(F.array().cast("array<struct<at:int,size:int,key:string>>"))
+
+    each = [runs_of(k) for k in sizes]
+    if not each:
+        return texts.select("doc", F.lit(0).alias("rank"), F.lit("").alias("id"), F.lit(0).alias("at")).limit(0)
+    runs = texts.select("doc", split(F.col("text")).alias("w")).select("doc", F.explode(F.flatten(F.array(*each))).alias("r")).select("doc", "r.*")
+    hits = salted_join(runs.groupBy("doc", "key", "size").agg(F.min("at").alias("at")), n, ["key", "size"], F.col("doc"))
     one = hits.groupBy("doc", "id", "kind", "len").agg(F.min("at").alias("at"))
     order = W.partitionBy("doc").orderBy("at", F.when(F.col("kind") == "Publication", 1).otherwise(0), F.desc("len"), "id")
     return one.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("doc", "rank", "id", "at")

@@ -66,9 +66,9 @@ def c04_contraindications(spark, d):
     return C.contraindications(table(spark, d, "documents").select(F.col("doc_id").alias("label"), "text"), c)
 
 
-@query()
+@query(r"SELECT DISTINCT request_id, pos, finding FROM (SELECT request_id, unnest(p) AS finding, generate_subscripts(p, 1) - 1 AS pos FROM (SELECT request_id, list_filter(list_transform(regexp_split_to_array(input_term, ',|;|\n|\band\b'), lambda x: " + _STRIP.format("x") + "), lambda x: x <> '') AS p FROM clinical_intake WHERE input_term IS NOT NULL))")
 def c05_findings(spark, d):
-    return table(spark, d, "clinical_intake").filter("input_term is not null").select("request_id", F.posexplode(X.split_findings(F.col("input_term"))).alias("pos", "finding")).distinct()
+    return table(spark, d, "clinical_intake").filter("input_term is not null").select("request_id", F.posexplode(X.split_findings(F.col("input_term"))).alias("pos", "finding")).withColumn("pos", F.col("pos").cast("long")).distinct()
 
 
 _TERMS = """

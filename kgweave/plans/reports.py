@@ -9,6 +9,7 @@ from ..operators import clinical as C
 from ..operators import reports as P
 from ..operators.runtime import checkpoint, table
 from .context import _articles, _ARTICLES, _questions, _QUESTIONS, _RANKED
+from .retrieval import _classify_sql
 from .graph import PATHS, _enrichment_sql, _path_pairs, _tenth, _tenth_sql
 from .testbed import GRAPH, graph, slim_graph
 
@@ -143,12 +144,14 @@ def o15_gene_lists(spark, d):
     return r.select("id", *[F.array_join(c, "|").alias(c) for c in ("diseases", "drugs", "pathways", "papers")])
 
 
-@query(GRAPH + "," + _QUESTIONS + r""", toks AS (SELECT query, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM ask),
+_MENTIONS = r"""toks AS (SELECT query, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM ask),
 nm AS (SELECT id, name, node_type, regexp_extract_all(lower(name), '[\p{L}\p{N}_]+') AS w FROM nodes WHERE name IS NOT NULL), nw AS (SELECT id, node_type, length(name) AS len, len(w) AS n, array_to_string(w, ' ') AS key FROM nm WHERE len(w) > 0),
-runs AS (SELECT query, i - 1 AS at, n, array_to_string(w[i:i + n - 1], ' ') AS key FROM (SELECT query, w, unnest(generate_series(1, len(w))) AS i FROM toks), (SELECT DISTINCT n FROM nw) WHERE i + n - 1 <= len(w)),
-hit AS (SELECT query, id, node_type, len, min(at) AS at FROM runs JOIN nw USING (key, n) GROUP BY ALL),
-ment AS (SELECT query, id, at, row_number() OVER (PARTITION BY query ORDER BY at, CASE WHEN node_type = 'Publication' THEN 1 ELSE 0 END, len DESC, id) AS rank FROM hit)
-SELECT query AS doc, rank, id, at FROM ment WHERE rank <= 5""")
+runs AS (SELECT query, i - 1 AS place, n, array_to_string(w[i:i + n - 1], ' ') AS key FROM (SELECT query, w, unnest(generate_series(1, len(w))) AS i FROM toks), (SELECT DISTINCT n FROM nw) WHERE i + n - 1 <= len(w)),
+hit AS (SELECT query, id, node_type, len, min(place) AS place FROM runs JOIN nw USING (key, n) GROUP BY ALL),
+ment AS MATERIALIZED (SELECT query, id, node_type, place, row_number() OVER (PARTITION BY query ORDER BY place, CASE WHEN node_type = 'Publication' THEN 1 ELSE 0 END, len DESC, id) AS rank FROM hit)"""
+
+
+@query(GRAPH + "," + _QUESTIONS + "," + _MENTIONS + 'SELECT query AS doc, rank, id, place AS "at" FROM ment WHERE rank <= 5')
 def l10_mentions(spark, d):
     """Nodes named in questions as whole words."""
     kg = slim_graph(spark, d)
@@ -318,7 +321,8 @@ def _requests(spark, d):
     return q.select("query", F.concat(F.when(F.col("query") % 100 == 0, "").otherwise("Find a gene report and then "), F.lower(F.substring("text", 1, 1)), F.substring("text", 2, 10_000), F.lit(" Show the pathway enrichment; list papers")).alias("text"))
 
 
-@query()
+@query(GRAPH + "," + _QUESTIONS + "," + _MENTIONS.replace("WHERE name IS NOT NULL)", "WHERE name IS NOT NULL AND node_type IS NOT NULL)") + f"""SELECT a.query, coalesce({_classify_sql('lower(a.text)')}, CASE WHEN m.node_type = 'Gene' AND contains(lower(a.text), 'drug') AND contains(lower(a.text), 'target') THEN 'graph_explorer'
+ WHEN m.node_type = 'Gene' THEN 'geneticist' WHEN m.node_type = 'Drug' THEN 'pharmacologist' WHEN m.node_type = 'Disease' THEN 'literature' WHEN m.node_type = 'Pathway' THEN 'pathway_analyst' END, 'router') AS task FROM ask a LEFT JOIN ment m ON m.query = a.query AND m.rank = 1""")
 def o02_route(spark, d):
     """Requests by kind: keywords, else the first node named."""
     return P.route(slim_graph(spark, d), _questions(spark, d)).select("query", "task")

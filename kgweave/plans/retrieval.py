@@ -9,6 +9,8 @@ from ..functions import text as X
 from ..operators import retrieval as R
 from ..operators.runtime import table
 
+_BLANK = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -195,10 +197,16 @@ def o01_classify(spark, d):
     return table(spark, d, "documents").filter("text is not null").select("doc_id", X.classify_task(F.col("text")).alias("task"))
 
 
-@query()
+_VERBED = "(?:" + X.CLAUSE_VERBS + r")\b"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '{_BLANK}+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[;?]\s*', chr(1), 'g'), '(?i),\s*({_VERBED})', chr(1) || '\1', 'g'), '(?i)\band\b(\s+{_VERBED})', chr(1) || '\1', 'g') AS t FROM t),
+p AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: regexp_replace(x, '^[ ,.]+|[ ,.]+$', '', 'g')), lambda x: x <> '') AS p FROM c)
+SELECT doc_id, pos, md5(x) AS digest, length(x) AS n FROM (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) - 1 AS pos FROM p)""")
 def o05_clauses(spark, d):
     c = table(spark, d, "documents").filter("text is not null").select("doc_id", F.posexplode(X.split_clauses(F.col("text"))).alias("pos", "clause"))
-    return c.select("doc_id", "pos", F.md5("clause").alias("digest"), F.length("clause").alias("n"))
+    return c.select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("clause").alias("digest"), F.length("clause").cast("long").alias("n"))
 
 
 @query("SELECT doc_id, i AS pos, md5(substr(text, CAST(i * 180 + 1 AS BIGINT), 180)) AS digest FROM (SELECT doc_id, text, unnest(generate_series(0, (length(text) - 1) // 180)) AS i FROM documents WHERE length(text) > 0)")
@@ -207,7 +215,6 @@ def o22_chunks(spark, d):
     return c.select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("piece").alias("digest"))
 
 
-_BLANK = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 @query(rf"""SELECT doc_id, CAST(least(10.0, 5.0 + CASE WHEN len(list_filter(regexp_split_to_array(text, '{_BLANK}+'), lambda x: x <> '')) >= 80 THEN 2.0 ELSE 0 END
@@ -216,12 +223,16 @@ def o12_critique(spark, d):
     return table(spark, d, "documents").filter("text is not null").select("doc_id", X.critique(F.col("text")).alias("score"))
 
 
-@query()
+@query(r"""SELECT article_id, array_to_string(CASE WHEN len(q) > 0 THEN list_concat([title], q)[1:3] WHEN len(w) > 0 THEN [title, array_to_string(w[1:5], ' ')] ELSE [title] END, '|') AS queries
+FROM (SELECT article_id, title, regexp_extract_all(title, '"([^"]+)"', 1) AS q, regexp_extract_all(title, '[A-Za-z0-9_-]{4,}') AS w FROM pubmed_articles WHERE title IS NOT NULL)""")
 def r22_fallback_queries(spark, d):
     return table(spark, d, "pubmed_articles").filter("title is not null").select("article_id", F.array_join(X.fallback_queries(F.col("title")), "|").alias("queries"))
 
 
-@query()
+_STRIPPED = rf"regexp_replace(abstract, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+
+
+@query(rf"SELECT article_id, coalesce(nullif(regexp_extract({_STRIPPED}, '^((?s:.*?)[.!?])\s', 1), ''), {_STRIPPED}) AS sentence FROM pubmed_articles WHERE abstract IS NOT NULL")
 def r23_first_sentences(spark, d):
     return table(spark, d, "pubmed_articles").filter("abstract is not null").select("article_id", X.first_sentence(F.col("abstract")).alias("sentence"))
 
