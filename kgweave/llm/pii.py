@@ -20,6 +20,8 @@ PART_CHARS = 400_000
 PLACEHOLDERS = {"name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]"}
 _TITLE = re.compile(r"^(?:(?:dr|prof|mr|mrs|ms|frau|herr|mme|sr|sra|dra)\b\.?\s+)+", re.I)
 
+_TITLED = re.compile(r"\b(?:dr|prof|mr|mrs|ms|frau|herr|mme|m|sr|sra|dra)\.?\s+$", re.I)
+
 
 def check_span(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     """The span with blanks and stray marks trimmed off its edges and words made whole, or None if it lacks what its kind must have."""
@@ -38,7 +40,10 @@ def check_span(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     if kind == "name":
         m = _TITLE.match(s)
         a += m.end() if m else 0
-        return (a, b) if sum(c.isalpha() for c in text[a:b]) >= 3 and not digits else None
+        s = text[a:b]
+        if s.islower() and s.isalpha() and not _TITLED.search(text[max(0, a - 12) : a]):  # one small word is a name only after a title
+            return None
+        return (a, b) if sum(c.isalpha() for c in s) >= 3 and not digits else None
     if kind == "email":
         return (a, b) if len(s) >= 6 and ("@" in s or re.search(r"[\[(]\s*at\s*[\])]", s, re.I)) else None
     if kind == "phone":

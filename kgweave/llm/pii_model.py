@@ -2,10 +2,13 @@
 
 :func:`fit` trains it from labelled spans by full back-propagation and Adam;
 :class:`Tagger` decodes texts: overlapping windows run through both directions, each
-position takes its scores from the window in which it lies deepest, and one Viterbi pass
-over the scores of each stretch reconciles them, so spans may cross windows.
+position takes its scores from the window in which it lies deepest, and a Viterbi pass
+over the scores of the whole text reconciles them, so spans may cross windows.
 
-Every character of every text is decoded; nothing decides beforehand where spans may be.
+Both directions read STEP characters at a time and give each of them scores of its own, to which
+tables for a character and its neighbours add.  Every character of every text is decoded; nothing
+decides beforehand where spans may be.  The Viterbi pass leaves out only positions whose scores
+prove, whatever stands around them, that the best path is outside of spans there.
 """
 
 from __future__ import annotations
@@ -18,8 +21,27 @@ import numpy as np
 
 from .pii_labels import KINDS
 
+
+def _one_thread() -> None:
+    """Keep matrix products on the task's own thread: for small ones a pool of threads costs far more than it saves."""
+    import ctypes
+    import re
+
+    try:
+        with open("/proc/self/maps") as f:
+            libs = {line.split()[-1] for line in f if re.search(r"(openblas|mkl_rt|libblis)[^/]*\.so", line)}
+    except OSError:
+        return
+    for lib in libs:
+        for name in ("openblas_set_num_threads", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "scipy_openblas_set_num_threads64_", "MKL_Set_Num_Threads", "bli_thread_set_num_threads"):
+            call = getattr(ctypes.CDLL(lib), name, None)
+            if call is not None:
+                call(1)
+
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 K = len(TAGS)
+STEP = 4
+#: Multiples of STEP, so that a character's place in its step depends on its text alone.
 WINDOW, MARGIN = 320, 32
 MODEL_FILE = Path(__file__).with_name("pii_model.npz")
 
@@ -60,16 +82,17 @@ def tags_of(n: int, spans: list[tuple[int, int, str]]) -> np.ndarray:
     return y
 
 
-def init(hidden: int = 32, embed: int = 16, seed: int = 7) -> dict[str, np.ndarray]:
+def init(hidden: int = 32, embed: int = 12, seed: int = 7) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     w = {"E": r.normal(0, 0.3, (VOCAB, embed))}
     for d in "fb":
-        w["X" + d] = r.normal(0, 1 / np.sqrt(embed), (embed, 4 * hidden))
+        w["X" + d] = r.normal(0, 1 / np.sqrt(STEP * embed), (STEP * embed, 4 * hidden))
         w["H" + d] = r.normal(0, 1 / np.sqrt(hidden), (hidden, 4 * hidden))
         w["b" + d] = np.zeros(4 * hidden)
         w["b" + d][hidden : 2 * hidden] = 1.0
-    w["O"] = r.normal(0, 1 / np.sqrt(2 * hidden), (2 * hidden, K))
-    w["c"] = np.zeros(K)
+    w["O"] = r.normal(0, 1 / np.sqrt(2 * hidden), (2 * hidden, STEP * K))
+    w["c"] = np.zeros(STEP * K)
+    w["N"] = np.zeros((3, VOCAB, K))  # of the character before, this one, the next
     w["T"] = np.zeros((K, K))
     return {k: v.astype(np.float32) for k, v in w.items()}
 
@@ -100,8 +123,8 @@ def _lstm(w: dict, d: str, z: np.ndarray, keep: bool):
 
 
 def _lstm_fast(h_w: np.ndarray, proj: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Hidden states [T, B, H] for classes x [T, B]; ``h_w`` and ``proj`` have the columns of i, f and o halved, so one tanh serves all gates."""
-    t_max, b = x.shape
+    """Hidden states [T, B, H] for pairs of classes x [T, B, STEP / 2]; ``h_w`` and ``proj`` (a table for each pair) have the columns of i, f and o halved, so one tanh serves all gates."""
+    t_max, b, _ = x.shape
     n = h_w.shape[0]
     hs = np.empty((t_max, b, n), np.float32)
     a, z = np.empty((b, 4 * n), np.float32), np.empty((b, 4 * n), np.float32)
@@ -109,7 +132,8 @@ def _lstm_fast(h_w: np.ndarray, proj: np.ndarray, x: np.ndarray) -> np.ndarray:
     s, g = a[:, : 3 * n], a[:, 3 * n :]
     for t in range(t_max):
         np.matmul(h, h_w, out=a)
-        a += np.take(proj, x[t], axis=0, out=z, mode="clip")
+        for j in range(STEP // 2):
+            a += np.take(proj[j], x[t, :, j], axis=0, out=z, mode="clip")
         np.tanh(a, out=a)
         s *= 0.5
         s += 0.5
@@ -170,18 +194,33 @@ def _crf_grad(em: np.ndarray, y: np.ndarray, trans: np.ndarray):
     return float(log_z.sum() - gold) / b, d_em / b, d_tr / b
 
 
+def _around(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x [T, B] as the character before, the character itself and the next, PAD beyond the ends."""
+    pad = np.full_like(x[:1], PAD)
+    return np.concatenate([pad, x[:-1]]), x, np.concatenate([x[1:], pad])
+
+
 def step(w: dict, x: np.ndarray, y: np.ndarray):
-    """Loss and gradients of one batch; x, y: [B, T]."""
+    """Loss and gradients of one batch; x, y: [B, T], T a multiple of STEP."""
     x, y = x.T.astype(np.int64), y.T.astype(np.int64)
-    e = w["E"][x]
+    t_max, b = x.shape
+    blocks = x.reshape(t_max // STEP, STEP, b).transpose(0, 2, 1)
+    e = w["E"][blocks].reshape(t_max // STEP, b, -1)
     zf, zb = e @ w["Xf"] + w["bf"], e[::-1] @ w["Xb"] + w["bb"]
     hf, mf = _lstm(w, "f", zf, True)
     hb, mb = _lstm(w, "b", zb, True)
     hcat = np.concatenate([hf, hb[::-1]], axis=2)
-    em = hcat @ w["O"] + w["c"]
+    em = (hcat @ w["O"] + w["c"]).reshape(t_max // STEP, b, STEP, K).transpose(0, 2, 1, 3).reshape(t_max, b, K)
+    near = _around(x)
+    em = em + sum(w["N"][i][near[i]] for i in range(3))
     loss, d_em, d_tr = _crf_grad(em, y, w["T"])
-    g = {"T": d_tr, "c": d_em.sum((0, 1)), "O": np.einsum("tbi,tbk->ik", hcat, d_em, optimize=True)}
-    dh = d_em @ w["O"].T
+    g = {"T": d_tr, "N": np.zeros_like(w["N"])}
+    for i in range(3):
+        np.add.at(g["N"][i], near[i].ravel(), d_em.reshape(-1, K))
+    d_out = d_em.reshape(t_max // STEP, STEP, b, K).transpose(0, 2, 1, 3).reshape(t_max // STEP, b, STEP * K)
+    g["c"] = d_out.sum((0, 1))
+    g["O"] = np.einsum("tbi,tbk->ik", hcat, d_out, optimize=True)
+    dh = d_out @ w["O"].T
     n = hf.shape[2]
     dzf, g["Hf"] = _lstm_back(w, "f", np.ascontiguousarray(dh[:, :, :n]), hf, mf)
     dzb, g["Hb"] = _lstm_back(w, "b", np.ascontiguousarray(dh[::-1, :, n:]), hb, mb)
@@ -190,7 +229,7 @@ def step(w: dict, x: np.ndarray, y: np.ndarray):
     g["Xb"] = np.einsum("tbe,tbj->ej", e[::-1], dzb, optimize=True)
     de = dzf @ w["Xf"].T + (dzb @ w["Xb"].T)[::-1]
     g["E"] = np.zeros_like(w["E"])
-    np.add.at(g["E"], x.ravel(), de.reshape(-1, de.shape[2]))
+    np.add.at(g["E"], blocks.ravel(), de.reshape(-1, w["E"].shape[1]))
     return loss, g
 
 
@@ -239,27 +278,38 @@ def _fit(pool, rows_all: int, hidden: int, epochs: int, batch: int, rate: float,
 class Tagger:
     """Decodes texts with trained weights; results don't depend on which texts share a call."""
 
-    def __init__(self, w: dict | None = None, *, window: int = WINDOW, margin: int = MARGIN, batch: int = 512):
+    def __init__(self, w: dict | None = None, *, window: int = WINDOW, margin: int = MARGIN, batch: int = 256):
         if w is None:
             with np.load(MODEL_FILE) as z:
                 w = {k: z[k].astype(np.float32) for k in z.files if k != "gate"}
+        _one_thread()
         self.w, self.window, self.margin, self.batch = w, window, margin, batch
         half = np.ones(w["Hf"].shape[1], np.float32)
         half[: 3 * len(w["Hf"])] = 0.5
-        self.proj = {d: (w["E"] @ w["X" + d] + w["b" + d]) * half for d in "fb"}
+        parts = w["E"].shape[1]
+        one = {d: [(w["E"] @ w["X" + d][j * parts : (j + 1) * parts] + (w["b" + d] if j == 0 else 0)) * half for j in range(STEP)] for d in "fb"}
+        self.proj = {d: [(t[j][:, None] + t[j + 1][None]).reshape(VOCAB * VOCAB, -1).astype(np.float32) for j in range(0, STEP, 2)] for d, t in one.items()}
         self.rec = {d: w["H" + d] * half for d in "fb"}
+        t = w["T"]
+        # What transitions can add, at most, to a span's gain over O: by character, and once for its ends.
+        self.each = float(t[1:, 1:].max() - t[0, 0])
+        self.ends = float(max(t[0, 1:].max() - t[0, 0], 0) + max(t[1:, 0].max() - t[0, 0], 0)) - self.each + 1e-3
 
-    def _emissions(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """x [B, T] padded on the right; the backward pass starts at each row's own end."""
+    def _emissions(self, x: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        """x [B, T] padded on the right, T a multiple of STEP; the backward pass starts at each row's own last step."""
         b, t_max = x.shape
-        hf = _lstm_fast(self.rec["f"], self.proj["f"], np.ascontiguousarray(x.T))
-        at = lengths[:, None] - 1 - np.arange(t_max)[None]
-        back = np.where(at >= 0, x[np.arange(b)[:, None], np.maximum(at, 0)], PAD)
-        hb = _lstm_fast(self.rec["b"], self.proj["b"], np.ascontiguousarray(back.T))
+        pairs = x.reshape(b, t_max // STEP, STEP // 2, 2)
+        blocks = (pairs[..., 0] * VOCAB + pairs[..., 1]).astype(np.int32)
+        hf = _lstm_fast(self.rec["f"], self.proj["f"], np.ascontiguousarray(blocks.transpose(1, 0, 2)))
+        at = steps[:, None] - 1 - np.arange(t_max // STEP)[None]
+        rows = np.arange(b)[:, None]
+        back = np.where((at >= 0)[:, :, None], blocks[rows, np.maximum(at, 0)], PAD * VOCAB + PAD)
+        hb = _lstm_fast(self.rec["b"], self.proj["b"], np.ascontiguousarray(back.transpose(1, 0, 2)))
         n = hf.shape[2]
-        ef = hf @ self.w["O"][:n] + self.w["c"]
-        eb = (hb @ self.w["O"][n:]).transpose(1, 0, 2)
-        return ef.transpose(1, 0, 2) + eb[np.arange(b)[:, None], np.maximum(at, 0)]
+        ef = hf.reshape(-1, n) @ self.w["O"][:n] + self.w["c"]
+        eb = (hb.reshape(-1, n) @ self.w["O"][n:]).reshape(t_max // STEP, b, STEP * K)
+        em = ef.reshape(t_max // STEP, b, STEP * K).transpose(1, 0, 2) + eb.transpose(1, 0, 2)[rows, np.maximum(at, 0)]
+        return em.reshape(b, t_max, K)
 
     def emissions(self, codes: list[np.ndarray]) -> list[np.ndarray]:
         """Tag scores [n, K] of each text."""
@@ -278,15 +328,60 @@ class Tagger:
         plan.sort(key=lambda p: p[2] - p[1])
         for k in range(0, len(plan), self.batch):
             part = plan[k : k + self.batch]
-            lengths = np.array([p[2] - p[1] for p in part])
-            x = np.full((len(part), lengths.max()), PAD, np.int64)
+            steps = np.array([-(-(p[2] - p[1]) // STEP) for p in part])
+            x = np.full((len(part), steps.max() * STEP), PAD, np.int64)
             for r, (i, a, z, _, _) in enumerate(part):
                 x[r, : z - a] = codes[i][a:z]
-            em = self._emissions(x, lengths)
+            em = self._emissions(x, steps)
             for r, (i, a, _, p, q) in enumerate(part):
                 out[i][p:q] = em[r, p - a : q - a]
+        for o, c in zip(out, codes, strict=True):
+            if len(c):
+                o += self.w["N"][1][c]
+                o[1:] += self.w["N"][0][c[:-1]]
+                o[0] += self.w["N"][0][PAD]
+                o[:-1] += self.w["N"][2][c[1:]]
+                o[-1] += self.w["N"][2][PAD]
         return out
 
+    def _tags(self, ems: list[np.ndarray], piece: int = 512) -> list[np.ndarray]:
+        """Best tags of each text, long texts cut into pieces that are decoded side by side.
+
+        A span on the best path gains over O: its characters' leads over O, with all that transitions could add, sum up to more than
+        nothing.  Characters in no stretch of which that holds are O on the best path whatever stands around.  Texts are cut only at
+        such characters, which both pieces hold as an O, so the result is that of decoding the text whole."""
+        tags = [np.zeros(len(e), np.int8) for e in ems]
+        runs, where = [], []
+        for i, e in enumerate(ems):
+            cuts = [0]
+            if len(e) > piece:
+                lead = e[:, 1].copy()
+                for k in range(2, K):
+                    np.maximum(lead, e[:, k], out=lead)
+                lead -= e[:, 0]
+                sums = np.cumsum(lead.astype(np.float64) + self.each)
+                most = np.maximum.accumulate(sums[::-1])[::-1]
+                least = np.minimum.accumulate(np.r_[0.0, sums[:-1]])
+                sure = np.flatnonzero(most - least + self.ends <= 0)
+                while cuts[-1] + piece < len(e):
+                    at = np.searchsorted(sure, cuts[-1] + piece)
+                    if at == len(sure):
+                        break
+                    cuts.append(int(sure[at]))
+            for lo, hi in zip(cuts, [*cuts[1:], len(e) - 1], strict=True):
+                run = e[lo : hi + 1]
+                if lo or hi < len(e) - 1:
+                    run = run.copy()
+                    if lo:
+                        run[0, 1:] = -1e4
+                    if hi < len(e) - 1:
+                        run[-1, 1:] = -1e4
+                runs.append(run)
+                where.append((i, lo, hi + 1))
+        for (i, lo, hi), t in zip(where, self._viterbi(runs), strict=True):
+            tags[i][lo:hi] = t
+        return tags
+
     def _viterbi(self, ems: list[np.ndarray]) -> list[np.ndarray]:
         """Best tags of each text; texts of like length are decoded side by side.  Only scores are kept on the
         way forward, the best predecessors are found again on the way back."""
@@ -327,7 +422,7 @@ class Tagger:
         plan = self.stretches(texts)
         codes = [encode(texts[i][a:z]) for i, a, z in plan]
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        for (i, a, _), tags in zip(plan, self._viterbi(self.emissions(codes)), strict=True):
+        for (i, a, _), tags in zip(plan, self._tags(self.emissions(codes)), strict=True):
             at = np.flatnonzero(tags)
             if len(at):
                 kind = (tags[at] + 1) // 2

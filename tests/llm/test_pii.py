@@ -2,9 +2,10 @@ import numpy as np
 import pyarrow.parquet as pq
 
 from kgweave.llm import pii, pii_model, pii_train
-from kgweave.llm.pii_labels import label
 
-DOCUMENTS = "/root/testdata/sf0.01/documents.parquet"  # weights come from another sample
+from pii_by_hand import CASES
+
+DOCUMENTS = "/root/testdata/sf0.01/documents.parquet"  # its texts were left out of training, see pii_train
 
 
 def texts():
@@ -16,14 +17,20 @@ def test_accuracy_by_kind():
         assert p >= 0.95 and r >= 0.95, kind
 
 
-def test_gate_lets_spans_through():
-    t = texts()
+def test_texts_by_hand():
+    """Names, numbers and places of no common source: most must be found, and little else."""
+    hit = said = true = 0
+    for (text, gold), spans in zip(CASES, pii.tag_texts([t for t, _ in CASES]), strict=True):
+        got = {(k, text[a:b]) for a, b, k in spans}
+        hit, said, true = hit + len(got & set(gold)), said + len(got), true + len(gold)
+    assert hit >= 0.7 * true and hit >= 0.75 * said
+
+
+def test_pieces_decode_as_the_whole():
     tagger = pii_model.Tagger()
-    passed = total = 0
-    for i, a, z in [(k, s[0], s[1]) for k, x in enumerate(t) for s in label(x)]:
-        total += 1
-        passed += any(p <= a and z <= q for _, p, q in tagger.stretches([t[i]]))
-    assert total > 300 and passed >= 0.99 * total
+    ems = tagger.emissions([pii_model.encode(" ".join(texts()[k : k + 4])[:6000]) for k in range(0, 40, 4)])
+    for whole, cut in zip(tagger._viterbi(ems), tagger._tags(ems, piece=50), strict=True):
+        assert (whole == cut).all()
 
 
 def test_results_don_t_depend_on_company():
@@ -43,7 +50,7 @@ def test_viterbi_against_brute_force():
 def test_gradients():
     r = np.random.default_rng(0)
     w = {k: v.astype(np.float64) for k, v in pii_model.init(hidden=3, embed=4).items()}
-    x, y = r.integers(0, 30, (2, 5)), r.integers(0, pii_model.K, (2, 5))
+    x, y = r.integers(0, 30, (2, 8)), r.integers(0, pii_model.K, (2, 8))
     _, g = pii_model.step(w, x, y)
     for name in w:
         at = np.unravel_index(int(np.argmax(np.abs(g[name]))), g[name].shape)
