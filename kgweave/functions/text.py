@@ -19,8 +19,10 @@ KEYWORDS = {
     "review_writer": ["write review", "narrative review", "draft review"],
     "sentinel": ["verify", "validate", "hallucination", "fact-check"],
 }
+# Signs of several steps, and verbs that begin a clause.
 COMPLEX = [" then ", " compare ", " plus ", "multi-agent", "workflow"]
 CLAUSE_VERBS = "what|which|are there|is there|find|show|check|analyze|analyse|generate|draft|verify|list"
+# Words that tell the level of evidence, and its score.
 EVIDENCE = [
     (["systematic review", "meta-analysis"], "high", 0.9),
     (["randomized", "phase 3", "clinical trial"], "moderate", 0.75),
@@ -28,6 +30,7 @@ EVIDENCE = [
     (["case report", "preclinical", "mouse", "in vitro"], "very_low", 0.3),
 ]
 EVIDENCE_ELSE = ("low", 0.45)
+# Levels of severity, lowest first, words and synonyms that tell them, and the advice for each.
 SEVERITIES = ["minor", "moderate", "major", "contraindicated"]
 SEVERITY_WORDS = [
     (["contraindicated", "avoid combination"], "contraindicated"),
@@ -166,8 +169,8 @@ def slug(prefix: str, name: Column) -> Column:
 
 
 def lenient_json(text: Column) -> Column:
-    """A JSON object in a text as a variant: the whole text, else from its first to its last brace; null if neither parses."""
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1)))
+    """A JSON object in a text as a variant: the whole text, else a fenced block, else from its first to its last brace; null if none parses."""
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))), F.try_parse_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1)))
 
 
 def literature_confidence(documents: Column, invalid: Column, top: int = 5) -> Column:

@@ -224,3 +224,42 @@ def a13_gene_resolution(spark, d):
     r = table(spark, d, "kg_nodes")
     asked = r.filter("record_id % 50 = 0 and name is not null").select(F.col("name").alias("gene")).unionByName(r.filter("record_id % 50 = 1 and id is not null").select(F.col("id").alias("gene")))
     return A.resolve_genes(slim_graph(spark, d), asked)
+
+
+@query("SELECT DISTINCT drug_id AS molecule_chembl_id, disease_id AS target_chembl_id, mechanism FROM drug_associations WHERE drug_id IS NOT NULL AND disease_id IS NOT NULL AND mechanism IS NOT NULL")
+def s11_mechanism_reader(spark, d):
+    """Mechanism responses, written from the table and read again."""
+    a = table(spark, d, "drug_associations").filter("drug_id is not null and disease_id is not null and mechanism is not null").select("drug_id", "disease_id", "mechanism").distinct()
+    row = F.struct(F.col("drug_id").alias("molecule_chembl_id"), F.col("disease_id").alias("target_chembl_id"), F.col("mechanism").alias("mechanism_of_action"))
+    return S.mechanisms(a.select(F.to_json(F.struct(F.array(row).alias("mechanisms"))).alias("payload"))).select("molecule_chembl_id", "target_chembl_id", "mechanism")
+
+
+@query(GRAPH + """, m AS (SELECT DISTINCT target_id AS list, source_id AS id FROM edges WHERE edge_type = 'drug_targets_gene'),
+k AS (SELECT least(source_id, target_id) AS id_a, greatest(source_id, target_id) AS id_b, min(score) AS score FROM edges WHERE edge_type = 'drug_interacts_with_drug' AND source_id <> target_id GROUP BY ALL)
+SELECT a.list, k.id_a, k.id_b, k.score FROM k JOIN m a ON a.id = k.id_a JOIN m b ON b.list = a.list AND b.id = k.id_b""")
+def s17_known_interactions(spark, d):
+    """Known interactions among the drugs of each target."""
+    kg = slim_graph(spark, d)
+    lists = kg.of_type("drug_targets_gene").select(F.col("target_id").alias("list"), F.col("source_id").alias("id"))
+    known = kg.of_type("drug_interacts_with_drug").select(F.col("source_id").alias("id_a"), F.col("target_id").alias("id_b"), "score")
+    return S.known_interactions(lists, known)
+
+
+@query(GRAPH + """, s AS (SELECT source_id AS drug, target_id AS effect, row_number() OVER (PARTITION BY source_id ORDER BY target_id) - 1 AS pos FROM (SELECT DISTINCT source_id, target_id FROM edges WHERE edge_type = 'drug_causes_side_effect'))
+SELECT drug, pos, effect FROM s WHERE pos < 5 UNION ALL SELECT id, 0, 'none' FROM nodes WHERE node_type = 'Drug' AND id NOT IN (SELECT drug FROM s)""")
+def s20_drug_records(spark, d):
+    """The first five records of each drug's response, a bundled one where there is none."""
+    kg = slim_graph(spark, d)
+    e = kg.of_type("drug_causes_side_effect").groupBy(F.col("source_id").alias("drug")).agg(F.array_sort(F.collect_set("target_id")).alias("x"))
+    payload = F.to_json(F.struct(F.transform("x", lambda t: F.struct(t.alias("effect"))).alias("results")))
+    bundled = kg.nodes.filter("node_type = 'Drug'").select(F.col("id").alias("drug"), F.lit(0).alias("pos"), F.lit('{"effect":"none"}').alias("record"))
+    r = S.drug_records(e.select("drug", payload.alias("payload")), bundled, limit=5)
+    return r.select("drug", F.col("pos").cast("long").alias("pos"), F.get_json_object("record", "$.effect").alias("effect"))
+
+
+@query(GRAPH + """, l AS (SELECT target_id AS phenotype, source_id AS disease, score FROM edges WHERE edge_type = 'disease_has_phenotype' AND score >= 0.5), far AS (SELECT target_id AS phenotype, source_id AS disease, score FROM edges WHERE edge_type = 'disease_has_phenotype' AND score < 0.5)
+SELECT * FROM l UNION ALL SELECT * FROM far WHERE phenotype NOT IN (SELECT phenotype FROM l)""")
+def s22_phenotype_diseases(spark, d):
+    """Diseases of phenotypes by a local list, else a remote one."""
+    e = slim_graph(spark, d).of_type("disease_has_phenotype").select(F.col("target_id").alias("phenotype"), F.col("source_id").alias("disease"), "score")
+    return S.phenotype_diseases(e, e.filter("score >= 0.5"), e.filter("score < 0.5"))

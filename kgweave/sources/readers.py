@@ -145,3 +145,36 @@ def event_reactions(df: DataFrame) -> DataFrame:
 def label_section(fields: list[str], size: int = 280) -> Column:
     """First ``size`` characters of a label's sections (arrays of text) put together."""
     return F.substring(F.array_join(F.flatten(F.array(*[F.coalesce(F.col(f), F.array().cast("array<string>")) for f in fields])), " "), 1, size)
+
+
+def mechanisms(df: DataFrame) -> DataFrame:
+    """Mechanisms of mechanism responses: (molecule_chembl_id, target_chembl_id, mechanism, action_type), a missing target as ''."""
+    j = _json(df, "mechanisms array<struct<molecule_chembl_id: string, target_chembl_id: string, mechanism_of_action: string, action_type: string>>").select(F.explode("j.mechanisms").alias("m"))
+    return j.select("m.molecule_chembl_id", F.coalesce("m.target_chembl_id", F.lit("")).alias("target_chembl_id"), F.col("m.mechanism_of_action").alias("mechanism"), "m.action_type")
+
+
+def drug_records(df: DataFrame, bundled: DataFrame, *, limit: int) -> DataFrame:
+    """The first ``limit`` records of each drug's response (drug, payload) as JSON texts: (drug, pos, record); bundled ones (drug, pos, record) where there is none.
+
+    Serves adverse events (10), labels (5) and recalls (10) alike; entries that aren't objects are left out."""
+    found = df.select("drug", F.posexplode(F.filter(F.from_json("payload", "results array<string>")["results"], lambda r: r.startswith("{"))).alias("pos", "record"))
+    found = found.filter(F.col("pos") < limit)
+    return found.unionByName(bundled.join(found.select("drug").distinct(), "drug", "left_anti").select("drug", "pos", "record"))
+
+
+def known_interactions(lists: DataFrame, known: DataFrame) -> DataFrame:
+    """Known interactions (id_a, id_b, …) among the members of each list (list, id): each unordered pair once for a list.
+
+    Members meet the known pairs by equality, so the pairs of a list are never all formed."""
+    m = lists.select("list", "id").distinct()
+    rest = [c for c in known.columns if c not in ("id_a", "id_b")]
+    k = known.filter("id_a <> id_b").groupBy(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).agg(*[F.min(c).alias(c) for c in rest])
+    return k.join(m.withColumnRenamed("id", "id_a"), "id_a").join(m.withColumnRenamed("id", "id_b"), ["list", "id_b"], "left_semi").select("list", "id_a", "id_b", *rest)
+
+
+def phenotype_diseases(wanted: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
+    """Diseases of phenotypes (phenotype): from the local list (phenotype, disease, score) if it has the phenotype, else from the remote one."""
+    w = wanted.select("phenotype").distinct()
+    here = local.join(w, "phenotype", "left_semi").select("phenotype", "disease", "score")
+    there = remote.join(w, "phenotype", "left_semi").join(local.select("phenotype").distinct(), "phenotype", "left_anti").select("phenotype", "disease", "score")
+    return here.unionByName(there)
