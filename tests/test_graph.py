@@ -10,6 +10,7 @@ from kgweave.operators import analytics as A
 from kgweave.operators import graph as G
 from kgweave.operators import learning as L
 from kgweave.plans import graph as graph_plans
+from kgweave.plans import registry
 from kgweave.plans import learning as learning_plans
 from kgweave.plans import more
 from kgweave.plans.testbed import graph, slim_graph
@@ -160,7 +161,7 @@ def test_betweenness_query_covers_the_graph(spark):
 def test_target_ranking_query_counts_betweenness(spark):
     kg = slim_graph(spark, SMALL)
     got = {r["id"]: r["combined"] for r in graph_plans.QUERIES["a06_target_ranking"](spark, SMALL).collect()}
-    terms = A.degree_centrality(kg).join(A.betweenness(kg), "id").join(A.pagerank(kg, rounds=10), "id").collect()
+    terms = A.degree_centrality(kg).join(A.betweenness(kg), "id").join(A.pagerank(kg), "id").collect()
     want = {r["id"]: 0.4 * r["centrality"] + 0.3 * r["betweenness"] + 0.3 * r["rank"] for r in terms if r["id"] in got}
     assert got == pytest.approx(want, abs=2e-8) and any(r["betweenness"] > 1e-4 for r in terms if r["id"] in got)
 
@@ -172,7 +173,7 @@ def test_repurposing_evidence_and_report_query(spark):
     kg = G.KnowledgeGraph(kg.nodes.withColumn("pmid", F.when(F.col("id").isin("p", "q"), F.col("id"))), kg.edges)
     assert [tuple(r) for r in G.repurposing_evidence(kg, kg.repurposing()).collect()] == [("d", "x", 2)]
     # Without the model's and the papers' share no confidence can exceed 0.5.
-    assert graph_plans.QUERIES["q09_repurposing_report"](spark, SMALL).agg(F.max("confidence")).first()[0] > 0.5
+    assert registry.queries()["q09_repurposing_report"](spark, SMALL).agg(F.max("confidence")).first()[0] > 0.5
 
 
 def test_search_query_reads_properties(spark):
