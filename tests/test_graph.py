@@ -12,7 +12,6 @@ from kgweave.operators import learning as L
 from kgweave.plans import graph as graph_plans
 from kgweave.plans import registry
 from kgweave.plans import learning as learning_plans
-from kgweave.plans import more
 from kgweave.plans.testbed import graph, slim_graph
 from kgweave.schema import EDGE_TYPES, NODE_TYPES, checked, edge_type_between
 
@@ -154,7 +153,7 @@ def test_betweenness_of_all_nodes_both_ways(spark, some):
 
 
 def test_betweenness_query_covers_the_graph(spark):
-    got = more.QUERIES["a02_betweenness"](spark, SMALL)
+    got = registry.queries()["a02_betweenness"](spark, SMALL)
     assert got.count() == got.select("id").distinct().count() == A.universe(slim_graph(spark, SMALL)).count()
 
 
