@@ -186,3 +186,13 @@ def test_models(spark, kg):
         L.embeddings(kg, x, msg, model="other")
     with pytest.raises(ValueError):
         L.link_dataset(kg, "trial_investigates_drug", "Gene", "Disease")
+
+
+def test_drafts_of_sections_keep_those_without_documents(spark):
+    s = spark.createDataFrame([("1#0", "Background", "What of x?"), ("2#0", "Background", "What of y?")], "query string, heading string, question string")
+    found = spark.createDataFrame([("1#0", r, f"Text {r}. More.", str(r) if r != 2 else None) for r in range(1, 6)], "query string, rank int, text string, pmid string")
+    got = {(r["query"], r["round"]): r["content"] for r in K.section_drafts(s, found).collect()}
+    assert len(got) == 6
+    assert got["1#0", 1] == "Background.\nThis section addresses: What of x?\n- Text 1. [PMID:1]\n- Text 2.\n- Text 3. [PMID:3]"
+    assert got["1#0", 2] == got["1#0", 1] + "\n- Text 4. [PMID:4]\n- Text 5. [PMID:5]" == got["1#0", 3]
+    assert got["2#0", 1] == "Background.\nInsufficient evidence was retrieved to answer: What of y?"
