@@ -196,3 +196,32 @@ def test_drafts_of_sections_keep_those_without_documents(spark):
     assert got["1#0", 1] == "Background.\nThis section addresses: What of x?\n- Text 1. [PMID:1]\n- Text 2.\n- Text 3. [PMID:3]"
     assert got["1#0", 2] == got["1#0", 1] + "\n- Text 4. [PMID:4]\n- Text 5. [PMID:5]" == got["1#0", 3]
     assert got["2#0", 1] == "Background.\nInsufficient evidence was retrieved to answer: What of y?"
+
+
+@pytest.mark.parametrize("rows", [2_000_000, 50])
+def test_bm25_of_every_document_against_brute_force(spark, rows):
+    r = np.random.default_rng(3)
+    words = ["the", "of", *[f"w{i}" for i in range(60)]]
+    p = np.array([30, 20, *[1 / (i + 1) for i in range(60)]])
+    text = lambda n: " ".join(r.choice(words, n, p=p / p.sum()))
+    texts = [(i, text(int(r.integers(1, 20)))) for i in range(400)] + [(7, "w3 w3"), (400, None), (401, ""), (402, "only itself")]
+    asked = [(f"q{i}", text(int(r.integers(1, 8)))) for i in range(40)] + [("none", "absent"), ("null", None), ("the", "the of the")]
+    by: dict = {}
+    for i, t in texts:
+        by.setdefault(i, []).extend((t or "").split())
+    df = {w: sum(w in t for t in by.values()) for w in {w for t in by.values() for w in t}}
+    n, avg = len(texts), sum(map(len, by.values())) / len(texts)
+    idf = {w: np.log(n - k + 0.5) - np.log(k + 0.5) for w, k in df.items()}
+    floor = np.mean(list(idf.values())) / 4
+    want = []
+    for q, t in asked:
+        s = {}
+        for i, ws in by.items():
+            if hit := [w for w in (t or "").split() if w in ws]:
+                s[i] = sum((floor if idf[w] < 0 else idf[w]) * ws.count(w) * 2.5 / (ws.count(w) + 1.5 * (0.25 + 0.75 * len(ws) / avg)) for w in hit)
+        want += [(q, k + 1, i, round(x, 6)) for k, (i, x) in enumerate(sorted(s.items(), key=lambda x: (-round(x[1], 9), -x[0]))[:5])]
+    a, b = spark.createDataFrame(texts, "doc long, text string").repartition(3), spark.createDataFrame(asked, "query string, text string")
+    hits = R.bm25(a, b, top=5, rows=rows, block=20)
+    assert sorted((x["query"], x["rank"], x["doc"], round(x["score"], 6)) for x in hits.collect()) == sorted(want)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan  # pairs of queries and documents are never shuffled
