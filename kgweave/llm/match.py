@@ -8,6 +8,10 @@ change no more, and each pair's marginal is its confidence.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -144,7 +148,7 @@ def _partners(rest: Column, spread: Column, further: float) -> Column:
     return g - F.log1p(F.expm1(g) / further)
 
 
-def believe(pairs: DataFrame, *, further_a: float = FURTHER_A, further_b: float = FURTHER_B, rounds: int = 1000, damping: float = 0.5, tolerance: float = 1e-3) -> DataFrame:
+def believe(pairs: DataFrame, *, further_a: float = FURTHER_A, further_b: float = FURTHER_B, rounds: int = 1000, damping: float = 0.5, tolerance: float = 1e-3, one_task: int = 1_000_000) -> DataFrame:
     """Marginal probability of each candidate pair: (a, b, confidence).
 
     ``pairs``: (a, b, theta) with each pair once and its log-odds.  A factor on each a, and one on each b, weighs
@@ -152,7 +156,28 @@ def believe(pairs: DataFrame, *, further_a: float = FURTHER_A, further_b: float
     all else, and a factor answers with what the other pairs leave; rounds end when no message moves by more
     than ``tolerance``.  Exact where the pairs form no cycle.  Messages of a graph that hasn't settled after
     ``rounds`` are an error, not a result.  An empty table gives an empty result.
+
+    A pair whose ends have no other gets no message and leaves at once.  Of the others up to ``one_task``, as counted,
+    exchange messages within one task; of more, each round is a join.
     """
+    pairs = checkpoint(pairs.select("a", "b", "theta"))
+    many = [pairs.groupBy(c).agg(F.count(F.lit(1)).alias(f"n{c}")) for c in ("a", "b")]
+    counted = checkpoint(pairs.join(many[0], "a").join(many[1], "b").withColumn("alone", (F.col("na") == 1) & (F.col("nb") == 1)).drop("na", "nb"))
+    alone = counted.filter("alone").select("a", "b", (1 / (1 + F.exp(-F.col("theta")))).alias("confidence"))
+    pairs = counted.filter("not alone").drop("alone")
+    n = pairs.count()
+    if n == 0:
+        return alone
+    if n <= one_task:
+
+        def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if parts := list(batches):
+                p = pd.concat(parts, ignore_index=True)
+                p["confidence"] = _settled(pd.factorize(p["a"])[0], pd.factorize(p["b"])[0], p["theta"].to_numpy(), further_a, further_b, rounds, damping, tolerance)
+                yield p[["a", "b", "confidence"]]
+
+        kinds = pairs.schema
+        return alone.unionByName(checkpoint(pairs.repartition(1).mapInPandas(settle, f"a {kinds['a'].dataType.simpleString()}, b {kinds['b'].dataType.simpleString()}, confidence double")))
     state = checkpoint(pairs.select("a", "b", "theta", F.lit(0.0).alias("ma"), F.lit(0.0).alias("mb")))
     clip = lambda c: F.greatest(F.lit(-30.0), F.least(F.lit(30.0), c))
     change = None
@@ -167,10 +192,32 @@ def believe(pairs: DataFrame, *, further_a: float = FURTHER_A, further_b: float
         change = done.agg(F.max("moved")).first()[0]
         state = done.drop("moved")
         if change is None or change <= tolerance:
-            return state.select("a", "b", (1 / (1 + F.exp(-(F.col("theta") + F.col("ma") + F.col("mb"))))).alias("confidence"))
+            return alone.unionByName(state.select("a", "b", (1 / (1 + F.exp(-(F.col("theta") + F.col("ma") + F.col("mb"))))).alias("confidence")))
     raise RuntimeError(f"messages still move by {change} after {rounds} rounds")
 
 
+def _settled(a: np.ndarray, b: np.ndarray, theta: np.ndarray, further_a: float, further_b: float, rounds: int, damping: float, tolerance: float) -> np.ndarray:
+    """The same messages for pairs held in memory, their ends as numbers from 0: the confidence of each."""
+
+    def answer(end: np.ndarray, q: np.ndarray, further: float) -> np.ndarray:
+        if further == 1.0:
+            return np.zeros(len(q))
+        if further == 0.0:
+            return -np.log1p(np.maximum(0.0, np.bincount(end, q)[end] - q))
+        x = np.log1p(q * further)
+        g = np.minimum(300.0, np.maximum(0.0, np.bincount(end, x)[end] - x))
+        return g - np.log1p(np.expm1(g) / further)
+
+    ma, mb, moved = np.zeros(len(theta)), np.zeros(len(theta)), 0.0
+    for _ in range(rounds):
+        na, nb = answer(a, np.exp(np.clip(theta + mb, -30, 30)), further_a), answer(b, np.exp(np.clip(theta + ma, -30, 30)), further_b)
+        moved = max(np.abs(na - ma).max(), np.abs(nb - mb).max())
+        ma, mb = ma * damping + na * (1 - damping), mb * damping + nb * (1 - damping)
+        if moved <= tolerance:
+            return 1 / (1 + np.exp(-(theta + ma + mb)))
+    raise RuntimeError(f"messages still move by {moved} after {rounds} rounds")
+
+
 def _evidence(parts: list[DataFrame]) -> DataFrame:
     """Sum of the strongest weight by kind of evidence: (a, b, theta)."""
     rows = parts[0]

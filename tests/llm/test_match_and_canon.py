@@ -49,6 +49,18 @@ def test_belief_on_a_cycle_sees_both_sides(spark):
     assert all(math.isclose(got[k], want[k], abs_tol=0.05) for k in want) and match.believe(spark.createDataFrame(pairs, "a string, b string, theta double").limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("further", [(0.5, 0.0), (0.0, 0.0), (1.0, 0.0), (0.3, 0.7)])
+def test_belief_in_one_task_equals_joins(spark, further):
+    r = random.Random(5)
+    pairs = {(f"a{r.randrange(12)}", f"b{r.randrange(12)}"): r.uniform(-3, 3) for _ in range(40)} | {("alone", "too"): 1.5}
+    df = spark.createDataFrame([(*k, v) for k, v in pairs.items()], "a string, b string, theta double")
+    one, joined = ({(x["a"], x["b"]): x["confidence"] for x in match.believe(df, further_a=further[0], further_b=further[1], one_task=n).collect()} for n in (1_000_000, 0))
+    assert set(one) == set(joined) == set(pairs)
+    assert all(math.isclose(one[k], joined[k], abs_tol=1e-12) for k in pairs) and math.isclose(one["alone", "too"], 1 / (1 + math.exp(-1.5)))
+    with pytest.raises(Exception, match="messages still move"):
+        match.believe(df, rounds=1).count()
+
+
 def test_near_pairs_at_every_length(spark):
     """All keys within the slips allowed, none else: against comparing everything with everything."""
     r = random.Random(3)
