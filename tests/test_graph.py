@@ -94,6 +94,14 @@ def test_paths_and_hops(spark, some):
             assert all(y in adj[x] for x, y in zip(p, p[1:], strict=False))
         else:
             assert (a, b) not in got
+    def first(a, b):
+        """Of all walks of the least length the first in the order of their ids."""
+        walks = [[a]]
+        for _ in range(dist[a][b]):
+            walks = [[*w, y] for w in walks for y in adj[w[-1]]]
+        return min(w for w in walks if w[-1] == b)
+
+    assert all(list(got[k]["path"]) == first(*k) for k in got)
     levels = {(r["seed"], r["id"]): r["level"] for r in kg.hops(spark.createDataFrame([(ids[0],)], "id string"), radius=2).collect()}
     assert levels == {(ids[0], x): n for x, n in dist[ids[0]].items() if n <= 2}
 
