@@ -47,3 +47,14 @@ def test_dense_fronts_are_met_from_the_other_side():
             want.append({int(b) for a in want[-1] for b in near[a]} - seen)
             seen |= want[-1]
         assert levels == [x for x in want if x]
+
+
+def test_context_and_paths_equal_joins(spark):
+    kg = _random(spark)
+    asked = spark.createDataFrame([(k, f"What links Name{k} to Name{k + 11}?") for k in range(1, 40)], "query long, text string")
+    one, two = (K.graph_context(kg, asked, limit=5, shared_edges=n).selectExpr("query", "size", "entities", "triples", "context") for n in (N.LIMIT, 0))
+    one, two = ({r["query"]: tuple(r) for r in df.collect()} for df in (one, two))
+    assert one == two and len(one) > 20
+    pairs = spark.createDataFrame([(f"n{a:02d}", f"n{b:02d}") for a in range(0, 60, 4) for b in range(0, 60, 5)], "source string, target string")
+    a, b = (rows(kg.shortest_paths(pairs, max_length=3, shared_edges=n).toPandas()) for n in (N.LIMIT, 0))
+    assert a == b and len(a) > 20
