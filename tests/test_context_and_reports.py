@@ -54,6 +54,25 @@ def test_containment_against_brute_force(spark, few):
     assert contains_pairs(spark.createDataFrame(texts, "key int, text string"), spark.createDataFrame([], "needle string")).count() == 0
 
 
+@pytest.mark.parametrize(("few", "shared_runs"), [(20_000, 1_000_000), (3, 1_000_000), (3, 2)])
+def test_substrings_by_long_runs(spark, few, shared_runs):
+    """Few needles, many of which only some meet a text, and more runs than go to every task: the same pairs."""
+    texts = [(1, "what links kinase alpha one to tumour"), (2, "a tumour, kinase alpha two"), (3, "αβγδεζηθι🧬 kin"), (4, "a"), (5, None)]
+    needles = ["kinase alpha one", "kinase alpha", "kinase beta one", "alpha two", "kin", "αβγδεζηθι🧬", "βγδεζηθι", "a", "to", "tumour, kinase alpha two", "not there at all", "🧬"]
+    got = contains_pairs(spark.createDataFrame(texts, "key int, text string"), spark.createDataFrame([(x,) for x in needles], "needle string"), few=few, shared_runs=shared_runs).collect()
+    assert sorted(map(tuple, got)) == sorted((k, n) for k, t in texts for n in needles if t and n in t)
+
+
+def test_first_entities_of_many_of_one_name(spark):
+    """Only the first nodes of a name can be a claim's first: the others are gone before they meet its claims."""
+    nodes = [(f"n{i:03}", "Tumour", "Disease") for i in range(200)] + [("m1", "kinase", "Gene"), ("z1", "kinase", "Gene"), ("q", None, "Gene"), ("r", "", "Gene")]
+    kg = KnowledgeGraph(spark.createDataFrame(nodes, "id string, name string, node_type string"), spark.createDataFrame([], "source_id string, target_id string, edge_type string, score double"))
+    claims = spark.createDataFrame([(1, "the TUMOUR grows"), (2, "kinase in tumour"), (3, "nothing")], "query int, text string")
+    got = sorted(map(tuple, K.substring_entities(kg, claims).collect()))
+    assert got == [(1, 1, "n000", "Disease"), (1, 2, "n001", "Disease"), (2, 1, "m1", "Gene"), (2, 2, "n000", "Disease")]
+    assert [r["id"] for r in K.substring_entities(kg, claims, limit=3, node_types=["Gene"]).orderBy("rank").collect()] == ["m1", "z1"]
+
+
 def test_salted_join_keeps_every_row(spark):
     left = spark.createDataFrame([("hot", i) for i in range(500)] + [("cold", 1), (None, 2)], "k string, v int")
     right = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("cold", "c")], "k string, w string")
