@@ -116,6 +116,11 @@ def test_verify_and_answers(spark, kg, docs):
     assert {r["query"]: r["round"] for r in kept.collect()} == {1: 2, 2: 3}
 
 
+def test_explored_paths_are_walked_once(spark, kg):
+    plan = P.explore(kg, ask(spark, "path from Kelanib to Lung disease"))._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan
+
+
 def test_reports(spark, kg, docs):
     asked = spark.createDataFrame([("gene:abc1", None), ("xyz2", "Gene"), ("kelanib", "Gene"), ("kinase", None)], "query string, node_type string")
     assert {(r["query"], r["id"]) for r in P.resolve_nodes(kg, asked).collect()} == {("gene:abc1", "gene:abc1"), ("xyz2", "gene:xyz2"), ("kinase", "gene:abc1")}
