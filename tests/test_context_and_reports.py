@@ -101,6 +101,17 @@ def test_retrieve(spark, kg, docs):
     assert d[2] == ("2", "pubmed") and d[1] == ("ABC1 and lung disease", "pubmed") and d[3] == ("Other", "x")
 
 
+def test_retrieve_with_vectors_of_their_own(spark, kg, docs):
+    """Vectors beside the documents give what vectors in them do; a document that has two rows isn't squared, texts aren't shuffled for their vectors."""
+    q = ask(spark, "ABC1 lung disease", "XYZ2").withColumn("vector", F.array(F.lit(1.0), F.col("query") * 2.0))
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (3, [0.0, 1.0]), (99, [1.0, 1.0])], "doc long, vector array<double>")
+    flat = lambda df: sorted(map(repr, df.collect()))
+    beside = K.retrieve(docs, q, top=3, kg=kg, vectors=v)
+    assert flat(beside) == flat(K.retrieve(docs.join(v, "doc", "left"), q, top=3, kg=kg)) and {1, 3} <= {r["doc"] for r in beside.collect()}
+    twice = K.retrieve(docs.unionByName(docs.filter("doc = 1")), q, top=3, kg=kg).filter("query = 0 and doc = 1")
+    assert twice.count() == 2
+
+
 def test_verify_and_answers(spark, kg, docs):
     claims = ask(spark, "ABC1 causes lung disease.", "XYZ2 treats lung disease", "zzz [PMID:1]", "qqq vvv", None)
     v = {r["query"]: (r["supported"], r["issue"]) for r in K.verify(kg, docs, claims).collect()}
