@@ -13,6 +13,7 @@ from kgweave.operators import retrieval as R
 from kgweave.operators.containment import contains_pairs
 from kgweave.operators.graph import KnowledgeGraph
 from kgweave.operators.runtime import salted_join
+from kgweave.plans import context as plans
 
 NODE = "id string, name string, node_type string, properties map<string,string>, sources array<string>, pmid string, year int"
 EDGE = "source_id string, target_id string, edge_type string, score double, properties map<string,string>, sources array<string>"
@@ -112,6 +113,19 @@ def test_retrieve_with_vectors_of_their_own(spark, kg, docs):
     assert twice.count() == 2
 
 
+def test_what_is_kept_of_found_documents(spark, kg, docs, monkeypatch):
+    """Neither answers nor full reviews write the context of a query with each of its documents."""
+    kept = []
+    keep = lambda df: kept.append(df.columns) or df
+    monkeypatch.setattr(K, "checkpoint", keep)
+    monkeypatch.setattr(plans, "checkpoint", keep)
+    articles = docs.select("pmid", "title", F.lit(None).cast("array<string>").alias("authors"), F.lit(2020).alias("year"), F.col("doc").alias("article_id"))
+    a = K.answer(kg, docs, articles, ask(spark, "ABC1 lung disease")).collect()
+    assert "[PMID:11]" in a[0]["answer"]
+    plans.o14_full_review(spark, "/root/testdata/sf0.001")
+    assert kept and not [c for c in kept if {"context", "text"} <= set(c)]
+
+
 def test_verify_and_answers(spark, kg, docs):
     claims = ask(spark, "ABC1 causes lung disease.", "XYZ2 treats lung disease", "zzz [PMID:1]", "qqq vvv", None)
     v = {r["query"]: (r["supported"], r["issue"]) for r in K.verify(kg, docs, claims).collect()}
