@@ -58,3 +58,36 @@ def test_context_and_paths_equal_joins(spark):
     pairs = spark.createDataFrame([(f"n{a:02d}", f"n{b:02d}") for a in range(0, 60, 4) for b in range(0, 60, 5)], "source string, target string")
     a, b = (rows(kg.shortest_paths(pairs, max_length=3, shared_edges=n).toPandas()) for n in (N.LIMIT, 0))
     assert a == b and len(a) > 20
+
+
+def test_paths_to_many_targets_at_once():
+    import numpy as np
+
+    # Two hubs of more than a thousand neighbours, random links, and two nodes apart from all others.
+    r = random.Random(5)
+    n = 3000
+    links = {(h, r.randrange(n - 2)) for h in (3, 2000) for _ in range(2000)} | {(r.randrange(n - 2), r.randrange(n - 2)) for _ in range(n)} | {(n - 2, n - 1)}
+    near = [set() for _ in range(n)]
+    for a, b in links:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    indptr, indices = np.concatenate([[0], np.cumsum([len(x) for x in near])]), np.array([b for x in near for b in x], np.int32)
+    targets = np.array(r.sample(range(n), 61) + [3, n - 1, 2000])
+    pairs = sorted({(r.randrange(n), k) for k in range(64) for _ in range(20)} | {(n - 2, int(np.flatnonzero(targets == n - 1)[0]))} - {(int(t), k) for k, t in enumerate(targets)})
+    pairs = [(s, k) for s, k in pairs if s != targets[k]]
+    want = set()
+    for k, t in enumerate(targets.tolist()):
+        far, front = {t: 0}, [t]
+        for d in range(1, 6):
+            front = sorted({b for a in front for b in near[a]} - far.keys())
+            far |= {b: d for b in front}
+        for s in (s for s, j in pairs if j == k and s in far):
+            path = [s]
+            while path[-1] != t:
+                path.append(min(b for b in near[path[-1]] if far.get(b) == far[path[-1]] - 1))
+            want.add(tuple(path))
+    for block in (1 << 20, 7):
+        source, bit = np.array(pairs).T
+        got = [tuple(p) for x in N._Together(indptr, indices, block=block).paths(targets, source, bit, 5) for p in x.tolist()]
+        assert len(got) == len(set(got)) and set(got) == want and len({len(p) for p in got}) > 3

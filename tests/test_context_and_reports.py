@@ -14,6 +14,7 @@ from kgweave.operators.containment import contains_pairs
 from kgweave.operators.graph import KnowledgeGraph
 from kgweave.operators.runtime import salted_join
 from kgweave.plans import context as plans
+from kgweave.plans import reports
 
 NODE = "id string, name string, node_type string, properties map<string,string>, sources array<string>, pmid string, year int"
 EDGE = "source_id string, target_id string, edge_type string, score double, properties map<string,string>, sources array<string>"
@@ -274,3 +275,14 @@ def test_bm25_of_every_document_against_brute_force(spark, rows):
     assert sorted((x["query"], x["rank"], x["doc"], round(x["score"], 6)) for x in hits.collect()) == sorted(want)
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan  # pairs of queries and documents are never shuffled
+
+
+def test_narratives_of_every_gene_and_hypothesis(spark, duck):
+    folder = "/root/testdata/sf0.001"
+    got = reports.o25_narratives(spark, folder).select("what", "id").collect()
+    cases = duck.execute(reports.GRAPH + "," + reports._CASES + """ SELECT DISTINCT "case" FROM cs WHERE "case" IN (SELECT id FROM kg_nodes WHERE node_type = 'Gene')""").fetchall()
+    assert sorted(r["id"] for r in got if r["what"] == "case") == sorted(c for (c,) in cases)
+    asked = duck.execute("SELECT DISTINCT source_id AS source, target_id AS target FROM hypotheses WHERE source_id IS NOT NULL AND target_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)").fetchall()
+    met = reports.slim_graph(spark, folder).shortest_paths(spark.createDataFrame(asked, "source string, target string")).groupBy("source").count().collect()
+    told = [r["id"].split(">")[0] for r in got if r["what"] == "hypothesis"]
+    assert sorted(told) == sorted(s for s, n in met for _ in range(min(n, 10)))
