@@ -286,3 +286,17 @@ def test_narratives_of_every_gene_and_hypothesis(spark, duck):
     met = reports.slim_graph(spark, folder).shortest_paths(spark.createDataFrame(asked, "source string, target string")).groupBy("source").count().collect()
     told = [r["id"].split(">")[0] for r in got if r["what"] == "hypothesis"]
     assert sorted(told) == sorted(s for s, n in met for _ in range(min(n, 10)))
+
+
+def test_cooccurrence_pairs_the_steps_of_a_walk_without_a_join(spark):
+    walks = [(1, "a", "abacb"), (2, "a", "aabbc"), (1, "b", "bc")]
+    df = spark.createDataFrame([(w, s, p, i) for w, s, ids in walks for p, i in enumerate(ids)], "walk int, start string, pos int, id string")
+    want: dict = {}
+    for _, _, ids in walks:
+        for p, a in enumerate(ids):
+            for b in ids[p + 1 : p + 4]:
+                for k in ((a, b), (b, a)):
+                    want[k] = want.get(k, 0) + 1
+    got = L.cooccurrence(df)
+    assert {(r["a"], r["b"]): r["n"] for r in got.collect()} == want and got.count() == len(want)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
